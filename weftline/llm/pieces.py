@@ -17,7 +17,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import batches, sha256_text, table
 
@@ -32,8 +32,6 @@ CHUNKS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 #: Without these, chunks are what a split at single spaces leaves.
 UNEVEN = re.compile(r"  | \n|^[ \n]| $")
 
-SCHEMA = pa.schema([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
 
 class Segmenter:
     """Ids and decoded text of whole texts, from a model's bytes."""
@@ -130,11 +128,11 @@ def encode(docs: DataFrame, model_path: str, end_id: bool = True, columns: Itera
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], ids, pa.array(decoded, pa.string())], names=[*columns, "ids", "decoded"])
 
-    source = docs.select(*columns, "text")
-    schema = source.drop("text").schema.add("ids", "array<int>").add("decoded", "string") if columns.count("text") == 0 else None
-    if schema is None:
-        raise ValueError("text cannot be carried; decoded holds it")
-    return source.mapInArrow(batches(segment), schema)
+    if {"text", "ids", "decoded"} & set(columns):
+        raise ValueError("text, ids and decoded cannot be carried; decoded holds the text")
+    carried = docs.select(*columns)
+    schema = T.StructType([*carried.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.select(*columns, "text").mapInArrow(batches(segment), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

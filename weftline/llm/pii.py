@@ -13,7 +13,7 @@ import unicodedata
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import batches, sha256_text, table
 
@@ -232,8 +232,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
 
     docs = docs.select("doc_id", "text")
-    schema = docs.select("doc_id").schema.add("spans", "array<struct<kind:string,start:int,end:int,base:boolean>>")
-    return docs.mapInArrow(batches(find), schema)
+    spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
+    return docs.mapInArrow(batches(find), T.StructType([docs.schema["doc_id"], T.StructField("spans", spans)]))
 
 
 def span_text(spans: Column) -> Column:
