@@ -242,6 +242,6 @@ def span_text(spans: Column) -> Column:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.filter("spans", lambda s: s["base"])
     return found.select("doc_id", *counts, sha256_text(span_text(base)).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
