@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, pieces, pii, sharding, toxicity
+from . import exact_dedup, language, mixing, pieces, pii, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_language": language.op7_language,
     "op8_shards": sharding.op8_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
