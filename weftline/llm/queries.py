@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, pieces, pii, sharding, substrings, toxicity
+from . import exact_dedup, language, mixing, pieces, pii, sharding, substrings, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": mixing.op2_mix_sources,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_language": language.op7_language,
     "op8_shards": sharding.op8_shards,
+    "op9_near_vectors": vectors.op9_near_vectors,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
