@@ -54,17 +54,16 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return weighted.select("source", "size", rate.alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, measure: str = "chars", seed: str = SEED) -> DataFrame:
-    """docs with every row repeated a Poisson number of times, in a global random order; adds copy and mix_key.
+def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, measure: str = "chars", seed: str = SEED) -> DataFrame:
+    """docs with every row repeated a Poisson number of times, in a global random order; adds __copy and __key.
 
     The number comes from inverting the Poisson distribution at a uniform hash of seed and doc_id, so reruns and
     retries agree, and rows with the same doc_id are repeated equally often. A mean above PART is split into
-    independent parts, each with a hash of its own, so that nothing underflows. copy counts from 1. mix_key is a
+    independent parts, each with a hash of its own, so that nothing underflows. __copy counts from 1. __key is a
     hash of seed, doc_id and copy; rows are dealt out by it and sorted by it within each partition. The rates, one
     row for each source, are broadcast up to a checked size; beyond it, documents and rates meet by source and salt.
-    Columns of docs pass through; one named copy or mix_key is replaced. An empty table gives no rows.
+    All columns of docs pass through. An empty table gives no rows.
     """
-    docs = docs.drop("copy", "mix_key")
     rates = source_rates(docs, weights, total, measure)
     parts = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / PART).cast("double"))
     terms = F.aggregate(
@@ -88,14 +87,20 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= _uniform(seed, F.col("doc_id"), j))),
     )
     joined = joined.withColumn("__copies", copies).where("__copies > 0")
-    out = joined.withColumn("copy", F.explode(F.expr("sequence(1, __copies)"))).drop("__copies", "__parts", "__cdf", "__source")
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy").cast("binary"))
-    return out.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    out = joined.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).drop("__copies", "__parts", "__cdf", "__source")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__copy").cast("binary"))
+    return out.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, measure: str = "chars", seed: str = SEED) -> DataFrame:
+    """The columns of docs only, rows as replicate() gives them."""
+    return replicate(docs, weights, total, measure, seed).select(*docs.columns)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to equal weights of the sources, by characters, at the size of the input."""
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "copy", "mix_key", "source", "lang", "text")
+    mixed = replicate(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("__copy").alias("copy"), F.col("__key").alias("mix_key"), "source", "lang", "text")
 
 
 SQL = rf"""

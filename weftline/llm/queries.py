@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, pieces, pii, sharding, substrings, toxicity, vectors
+from . import exact_dedup, jaccard, language, mixing, pieces, pii, sharding, substrings, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": pieces.op4_sentencepiece,

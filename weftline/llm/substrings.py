@@ -69,6 +69,8 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
         if k & width:
             out = have[done : done + n].copy() if out is None else out * power + have[done : done + n]
             done += width
+        if width * 2 > k:
+            break
         have = have[: len(have) - width] * power + have[width:]
         power = power * power
         width *= 2
