@@ -142,13 +142,14 @@ class Network:
         gb = self.back.backward(x[::-1], live[::-1], tape_b, ds[::-1, :, w:])
         return loss, [*ga.values(), *gb.values(), gw, d.sum((0, 1))]
 
-    def fit(self, words: list[str], y: np.ndarray, passes: int = 3, batch: int = 512, rate: float = 0.02, seed: int = 11) -> Network:
-        """Adam over batches of windows of like length."""
+    def fit(self, words: list[str], y: np.ndarray, passes: int = 3, least_steps: int = 600, batch: int = 512, rate: float = 0.02, seed: int = 11) -> Network:
+        """Adam over batches of windows of like length; more passes where a few do not make least_steps."""
         x, length, owner = coded(words)
         y = y[owner]
         random = np.random.default_rng(seed)
         params = self.parameters()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        passes = max(passes, -(-least_steps // max(1, -(-len(y) // batch))))
         k, all_steps = 0, max(1, passes * -(-len(y) // batch))
         for _ in range(passes):
             order = np.lexsort((random.random(len(y)), length))
