@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -43,8 +44,9 @@ def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session is gone; the folder then stays for whoever owns the shared folder
-        pass
+    except Exception:  # noqa: BLE001  the session is gone; a folder of local mode can still be removed
+        if folder.startswith("file:") and "/weftline-" in folder and tempfile.gettempdir() in folder:
+            shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

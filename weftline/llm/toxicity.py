@@ -34,6 +34,7 @@ CACHE = 150_000
 
 _EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 _REPEAT = re.compile(r"(.)\1{2,}")
+_STARRED = re.compile(r"^[^\W\d_]{1,20}\*+[^\W\d_]{1,20}$")
 _INNER = re.compile(r"[^\W\d_][\d@$!|+*#.\-_]+[^\W\d_]")
 
 NAMES = (
@@ -69,6 +70,10 @@ class Words(dict):
             if place := self.lexicon.get(hidden, 0):
                 code |= 32
                 word = hidden
+            elif _STARRED.search(word):  # letters behind asterisks: the first insult that fits
+                fits = re.compile(re.sub(r"\\\*+", r"\\w+", re.escape(word)))
+                if fit := next((w for w in SEED_WORDS if fits.fullmatch(w)), None):
+                    word, place, code = fit, self.lexicon[fit], code | 32
         code |= (word in self.seed) | (word in SECOND_PERSON) << 1 | (len(word) > 2 and form.isupper()) << 2 | masked << 3 | bool(_REPEAT.search(word)) << 4
         self[form] = code = code | place << 6
         return code
