@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,8 +16,9 @@ def _forget(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session has ended before
-        pass
+    except Exception:  # noqa: BLE001  the session has ended before; a folder of local mode can still be removed
+        if folder.startswith("file:") and tempfile.gettempdir() in folder:
+            shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
