@@ -85,3 +85,19 @@ def listed(html: Column, separator: str = "<br>") -> Column:
     lines = F.flatten(F.transform(F.split(html, separator), lambda x: F.split(x, "\n")))
     plain = F.transform(lines, lambda x: F.replace(F.regexp_replace(x, TAG, ""), F.lit(","), F.lit("")))
     return F.filter(plain, lambda x: (x != "") & (x != '"'))
+
+
+def after(text: Column, delimiter: str) -> Column:
+    """What stands behind the first delimiter; empty if it is missing."""
+    at = F.instr(text, delimiter)
+    return F.when(at > 0, F.substr(text, at + F.lit(len(delimiter)))).otherwise("")
+
+
+def path_part(path: Column, from_end: int) -> Column:
+    """A component of a path, counted from the end (1 is the name itself); null if there are fewer."""
+    return F.try_element_at(F.split(path, "/"), F.lit(-from_end))
+
+
+def variant_link(base: Column, code: Column) -> Column:
+    """The link of a colour variant: the base without its query, and the code as a parameter."""
+    return F.concat(canonical_url(base), F.lit("?color="), code)
