@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import BLANK_CLASS, cut, table
@@ -25,10 +27,10 @@ from .common import BLANK_CLASS, cut, table
 WINDOW, MINIMISER = 35, 4
 
 #: Bytes of packed strings that a task gathers before it sends them off, and bytes wanted in a bucket.
-GATHER, BUCKET = 24 << 20, 12 << 20
+GATHER, BUCKET = 24 << 20, 10 << 20
 
 #: Distinct words whose hashes a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 
 _SPLIT = re.compile(BLANK_CLASS + "+")
 _OTHER = re.compile(r"[^\S\x20\x09-\x0D]")
@@ -77,8 +79,9 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return _mix(out)
 
 
-def super_kmers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each super-k-mer of a document with these word hashes: first window, windows, hash of the minimiser."""
+def super_kmers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each super-k-mer of a document with these word hashes: first window, windows, hash of the minimiser, and
+    whether the minimiser is in it once only, so that no two of its windows are equal."""
     with np.errstate(over="ignore"):
         keys = _mix(run_hashes(h, m) ^ _ODD)
     span = window - m + 1
@@ -89,16 +92,54 @@ def super_kmers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndar
     n = len(h) - window + 1
     low = np.minimum(low[:n], low[span - width : span - width + n])
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return first, np.diff(np.append(first, n)), low[first]
+    n, low = np.diff(np.append(first, n)), low[first]
+    size = n + span - 1
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(first - begin, size)
+    once = np.add.reduceat((keys[at] == np.repeat(low, size)).view(np.int8), begin, dtype=np.int64) == 1
+    return first, n, low, once
 
 
-def _places(n_parts: int, window: int, m: int):
-    """Of Arrow batches (doc_key, text): rows (part, blob), blob a packed and compressed share of a bucket."""
+def _cells(n_cells: int, window: int, m: int):
+    """Of Arrow batches (doc_key, text): rows (cell, n), the super-k-mers of each cell of minimisers."""
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer = Hashes(), zstandard.ZstdCompressor(level=1)
+        hashes, found = Hashes(), []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            cell, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+            found.clear()
+
+        for frame in frames:
+            for text in frame.column(1):
+                words = words_of(text.as_py() or "")
+                if len(words) >= window:
+                    with np.errstate(over="ignore"):
+                        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                        found.append(_cell(super_kmers(h, window, m)[2], n_cells))
+            if sum(map(len, found)) > 4_000_000:
+                yield from give()
+        if found:
+            yield from give()
+
+    return run
+
+
+def _cell(low: np.ndarray, n_cells: int) -> np.ndarray:
+    return (low >> np.uint64(24)) % np.uint64(n_cells)
+
+
+def _places(n_parts: int, n_cells: int, hot: Broadcast, window: int, m: int):
+    """Of Arrow batches (doc_key, text): rows (part, blob), blob a packed and compressed share of a bucket.
+
+    Super-k-mers of hot cells are taken apart into windows, which go to buckets by the hash of all their words.
+    """
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, packer = Hashes(), zstandard.ZstdCompressor(level=3)
         found: list[dict[str, list[int]]] = [{} for _ in range(n_parts)]
-        size = 0
+        size, hot_cells = 0, hot.value
 
         turn = 0
 
@@ -108,13 +149,15 @@ def _places(n_parts: int, window: int, m: int):
             known: list[int] = []
             for i, strings in enumerate(found):
                 if strings:
-                    lone = np.array([len(v) == 2 for v in strings.values()], np.int64)
                     at = np.array([x for v in strings.values() for x in v[:2]], np.int64)
-                    rows.append((i, packed(np.array([len(strings), 0], np.int64), lone, at, "\n".join(strings))))
+                    key = np.array([v[2] for v in strings.values()], np.uint32)
+                    kind = np.array([1 + v[3] if len(v) == 4 else 0 for v in strings.values()], np.uint8)
+                    rows.append((i, packed(np.array([len(strings), 0], np.int64), at, key, kind, "\n".join(strings))))
                     for string, v in strings.items():
-                        if len(v) > 2:
+                        if len(v) > 4:
                             n = string.count(" ") + 2 - window
-                            known += [x for j in range(0, len(v), 2) for x in (v[j], v[j + 1], n)]
+                            known += (v[0], v[1], n)
+                            known += [x for j in range(4, len(v), 2) for x in (v[j], v[j + 1], n)]
                     strings.clear()
                 while len(known) > 30_000 or known and i == n_parts - 1:  # dealt out in turn, however common a passage is
                     share, known = known[:30_000], known[30_000:]
@@ -134,18 +177,26 @@ def _places(n_parts: int, window: int, m: int):
                     continue
                 with np.errstate(over="ignore"):
                     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    first, n, low = super_kmers(h, window, m)
+                    first, n, low, once = super_kmers(h, window, m)
+                    if len(hot_cells):
+                        apart = np.isin(_cell(low, n_cells), hot_cells)
+                        if apart.any():
+                            names = run_hashes(h, window)
+                            single = np.arange(int(n[apart].sum())) + np.repeat(first[apart] - (np.cumsum(n[apart]) - n[apart]), n[apart])
+                            first, n = np.concatenate([first[~apart], single]), np.concatenate([n[~apart], np.ones_like(single)])
+                            low, once = np.concatenate([low[~apart], names[single]]), np.concatenate([once[~apart], np.ones(len(single), bool)])
                 key = key.as_py()
                 turn = turn or key % n_parts
-                for a, b, i in zip(first.tolist(), (first + n + window - 1).tolist(), (low % np.uint64(n_parts)).tolist()):
+                parts, short = (low % np.uint64(n_parts)).tolist(), (low >> np.uint64(32)).tolist()
+                for a, b, i, k, o in zip(first.tolist(), (first + n + window - 1).tolist(), parts, short, once.tolist()):
                     string = " ".join(words[a:b])
                     if (at := found[i].get(string)) is None:
-                        found[i][string] = [key, a]
+                        found[i][string] = [key, a, k, o]
                         size += 2 * len(string) + 200
                     else:
                         at += (key, a)
                         size += 80
-                    if size > 4 * GATHER:
+                if size > 4 * GATHER:
                         yield from flush()
                         size = 0
         yield from flush()
@@ -156,17 +207,30 @@ def _places(n_parts: int, window: int, m: int):
 def repeated_windows(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first, windows) of the runs of windows in strings with one place that occur more than once in a bucket.
 
-    A blob is a task's share, unpacked: the number of strings, for each whether the task met it once, its first
-    place, and the strings. Places of strings that a task met more often are known to it already.
+    A blob is a task's share, unpacked: the number of strings, of each its first place, a part of its minimiser's
+    hash, its kind (0: met more than once by the task, its places are known already; 2: no two of its windows are
+    equal; 1: else), then the strings. A string of kind 2 whose minimiser no other string has is done with unread.
     """
-    strings: list[str] = []
-    lone, at = [], []
+    shares, keys, kinds, at = [], [], [], []
     for raw in blobs:
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        lone.append(np.frombuffer(raw, np.int64, n, 16))
-        at.append(np.frombuffer(raw, np.int64, 2 * n, 16 + 8 * n))
-        strings += raw[16 + 24 * n :].decode("utf-8", "surrogatepass").split("\n")
-    lone, at = np.concatenate(lone), np.concatenate(at).reshape(-1, 2)
+        at.append(np.frombuffer(raw, np.int64, 2 * n, 16))
+        keys.append(np.frombuffer(raw, np.uint32, n, 16 + 16 * n))
+        kinds.append(np.frombuffer(raw, np.uint8, n, 16 + 20 * n))
+        shares.append(n)
+    at, kind, key = np.concatenate(at).reshape(-1, 2), np.concatenate(kinds), np.concatenate(keys)
+    _, number_of, times = np.unique(key, return_inverse=True, return_counts=True)
+    read = (kind != 2) | (times[number_of] > 1)
+    strings: list[str] = []
+    begin = 0
+    for raw, n in zip(blobs, shares):
+        some = read[begin : begin + n]
+        begin += n
+        if some.any():
+            strings += compress(raw[16 + 21 * n :].decode("utf-8", "surrogatepass").split("\n"), some.tolist())
+    if not strings:
+        return (np.empty(0, np.int64),) * 3
+    at, lone = at[read], (kind[read] > 0).astype(np.int64)
     # a string's number stands for its text from here on; equal strings of several tasks are one
     number: dict[str, int] = {}
     which = np.array([number.setdefault(s, len(number)) for s in strings], np.int64)
@@ -253,11 +317,20 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> D
 
     Windows from first to first + n - 1 (word numbers from 0) each occur at least twice, in any documents or in one.
     The number of buckets follows the bytes of text, and each is read by one task. However common a passage is, it
-    adds one string for each task that met it.
+    adds one string for each task that met it. A minimiser with very many different surroundings, found by a count
+    over all super-k-mers, does not name a bucket: windows around it go by their own hashes.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = int(max(8, min(1 << 20, 3.2 * total / BUCKET)))
-    sent = docs.select("doc_key", "text").mapInArrow(_places(n_parts, window, m), "part int, blob binary")
+    docs = docs.select("doc_key", "text")
+    # minimisers that very many super-k-mers share, by the cells of their hashes; most cells hold like numbers
+    n_cells = 4 * n_parts
+    cells = docs.mapInArrow(_cells(n_cells, window, m), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = cut(cells, "cells")
+    mean = (cells.agg(F.sum("n")).first()[0] or 0) / n_cells
+    hot = [r["cell"] for r in cells.where(F.col("n") > 4 * max(mean, 500)).select("cell").collect()]  # a quarter of the cells at most
+    hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
+    sent = docs.mapInArrow(_places(n_parts, n_cells, hot, window, m), "part int, blob binary")
     dealt = sent.repartition(max(1, n_parts), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(_buckets(window), "doc_key long, first int, n int")
 
