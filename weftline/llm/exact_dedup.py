@@ -22,20 +22,21 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     move a few numbers per row. Only rows that are left then have their whole text hashed (SHA-256, fh) and are
     grouped by it; the row with the longest original text, then the smallest doc_id (a null id first) stays. Group
     counts combine before each shuffle, and a group is never gathered: its keeper comes from an aggregate that is
-    joined back, where adaptive execution splits a hot key.
+    joined back. The aggregates are small tables of their own, so that Spark either broadcasts them, by their size, or
+    joins two plain shuffles, where adaptive execution splits a hot key.
     """
     norm = normalised()
     light = docs.select("doc_id", F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, prefix)).alias("ph"))
-    lengths = light.groupBy("n").count().where("count > 1").select("n")
+    lengths = cut(light.groupBy("n").count().where("count > 1").select("n"), "lengths")
     level1 = cut(light.join(lengths, "n", "left_semi"), "level1")
-    heads = level1.groupBy("n", "ph").count().where("count > 1").select("n", "ph")
+    heads = cut(level1.groupBy("n", "ph").count().where("count > 1").select("n", "ph"), "heads")
     level2 = level1.join(heads, ["n", "ph"], "left_semi").select(F.col("doc_id").alias("__id")).distinct()
     full = docs.select("doc_id", F.length(text_of()).alias("cp"), text_of().alias("text"))
     full = full.join(level2, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     hashed = cut(full.select("doc_id", "cp", F.unhex(sha256_text(normalised())).alias("fh")), "hashed")
     first = F.min(F.struct((-F.col("cp")).alias("x"), F.col("doc_id").alias("id")))
     groups = hashed.groupBy("fh").agg(F.count("*").alias("group_size"), first.alias("k")).where("group_size > 1")
-    groups = groups.select("fh", "group_size", F.col("k.id").alias("keep_id"))
+    groups = cut(groups.select("fh", "group_size", F.col("k.id").alias("keep_id")), "keepers")
     return hashed.select("doc_id", "fh").distinct().join(groups, "fh")
 
 
