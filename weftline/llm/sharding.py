@@ -44,11 +44,13 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         fine = rows.groupBy(F.shiftright("h", BITS - bits).alias("f")).agg(F.count("*").alias("c"), F.sum("n_bytes").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         level = fine.select("*", F.explode(F.sequence(F.lit(top), F.lit(bits))).alias("d"))
         level = level.groupBy("d", F.expr(f"shiftright(f, {bits} - d)").alias("p")).agg(F.sum("c").alias("c"), F.sum("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        fits = level.where((F.col("b") <= limit) | (F.col("lo") == F.col("hi")))
-        of_fine = fine.select("f", F.explode(F.sequence(F.lit(top), F.lit(bits))).alias("d")).withColumn("p", F.expr(f"shiftright(f, {bits} - d)"))
-        leaf = of_fine.join(fits.select("d", "p", "c", "b"), ["d", "p"], "left").groupBy("f")
-        leaf = leaf.agg(F.min(F.when(F.col("b").isNotNull(), F.struct("d", "p", "c", "b"))).alias("s"))
-        leaf = cut(leaf, "directory")
+        fits = cut(level.where((F.col("b") <= limit) | (F.col("lo") == F.col("hi"))).select("d", "p", "c", "b"), "fits")
+        # what lies in a bucket that fits also fits, so a leaf is one whose parent does not; no key has over two rows
+        above = fits.select((F.col("d") + 1).alias("d"), F.explode(F.array(F.col("p") * 2, F.col("p") * 2 + 1)).alias("p"))
+        leaf = fits.join(above, ["d", "p"], "left_anti")
+        first, past = F.expr(f"shiftleft(p, {bits} - d)"), F.expr(f"shiftleft(p + 1, {bits} - d) - 1")
+        leaf = leaf.select(F.explode(F.sequence(first, past)).alias("f"), F.struct("d", "p", "c", "b").alias("s"))
+        leaf = cut(fine.select("f").join(leaf, "f", "left"), "directory")
         marked = rows.withColumn("f", F.shiftright("h", BITS - bits)).join(leaf, "f")
         done.append(marked.where("s is not null").select(
             "doc_id", "n_bytes", F.col("s.d").alias("shard_depth"), F.col("s.p").alias("shard_prefix"),
