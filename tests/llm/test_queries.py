@@ -167,7 +167,9 @@ def test_passages_edge(spark, edge):
     assert rows_of(queries.QUERIES["op6_substring_dedup"](spark, edge)) == passages_brute(TEXTS)
 
 
-def test_passages_shared(spark):
+@pytest.mark.parametrize("least_hot", [500, 0])
+def test_passages_shared(spark, monkeypatch, least_hot):
+    monkeypatch.setattr(substrings, "LEAST_HOT", least_hot)  # at 0 the busiest minimisers are taken apart
     common = prose(77, 60)
     texts = [(i, f"{prose(i, 30 + i % 40)} {common if i % 3 else ''} {prose(900 + i, 20)}") for i in range(200)]
     texts += [(1000 + i, "spam " * (30 + i)) for i in range(12)]

@@ -29,6 +29,9 @@ WINDOW, MINIMISER = 35, 4
 #: Bytes of packed strings that a task gathers before it sends them off, and bytes wanted in a bucket.
 GATHER, BUCKET = 24 << 20, 10 << 20
 
+#: Super-k-mers of a cell of minimisers from which, at four times as many or of the mean, it counts as hot.
+LEAST_HOT = 500
+
 #: Distinct words whose hashes a worker keeps.
 CACHE = 250_000
 
@@ -328,7 +331,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> D
     cells = docs.mapInArrow(_cells(n_cells, window, m), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = cut(cells, "cells")
     mean = (cells.agg(F.sum("n")).first()[0] or 0) / n_cells
-    hot = [r["cell"] for r in cells.where(F.col("n") > 4 * max(mean, 500)).select("cell").collect()]  # a quarter of the cells at most
+    hot = [r["cell"] for r in cells.where(F.col("n") > 4 * max(mean, LEAST_HOT)).select("cell").collect()]  # a quarter of the cells at most
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
     sent = docs.mapInArrow(_places(n_parts, n_cells, hot, window, m), "part int, blob binary")
     dealt = sent.repartition(max(1, n_parts), "part").sortWithinPartitions("part")

@@ -20,8 +20,8 @@ SAMPLE = 20_000
 #: Learned words of the lexicon at most, and the least number of toxic documents of a half of the sample with a word.
 WORDS, LEAST = 2_000, 4
 
-#: Insults that are in the lexicon whatever the sample holds.
-SEED_WORDS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "fool", "jerk", "imbecile", "vermin", "filth")
+#: Log odds from which a word of the lexicon counts as strong.
+STRONG = 3.0
 
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre vos tú usted ustedes ti vosotros".split())
 
@@ -38,7 +38,7 @@ _STARRED = re.compile(r"^[^\W\d_]{1,20}\*+[^\W\d_]{1,20}$")
 _INNER = re.compile(r"[^\W\d_][\d@$!|+*#.\-_]+[^\W\d_]")
 
 NAMES = (
-    "log_words", "mean_length", "seed_hits", "seed_density", "hits", "density", "weight_density", "distinct_hits", "window_hits", "hidden_density",
+    "log_words", "mean_length", "strong_hits", "strong_density", "hits", "density", "weight_density", "distinct_hits", "window_hits", "hidden_density",
     "second_person", "near_second_person", "second_person_distance", "capital_words", "capital_hits", "exclamations", "questions", "symbols",
     "obfuscated", "elongated", "digits",
 )
@@ -55,11 +55,11 @@ def unmasked(word: str) -> str:
 
 
 class Words(dict):
-    """Of each word form: bits for seed, second person, capitals, obfuscation, elongation, hidden hit; lexicon place above."""
+    """Of each word form: bits for second person, capitals, obfuscation, elongation, hidden hit; lexicon place above."""
 
     def __init__(self, lexicon: dict[str, int]) -> None:
         super().__init__()
-        self.lexicon, self.seed = lexicon, frozenset(SEED_WORDS)
+        self.lexicon = lexicon
 
     def __missing__(self, form: str) -> int:
         word = plain(form)
@@ -70,11 +70,11 @@ class Words(dict):
             if place := self.lexicon.get(hidden, 0):
                 code |= 32
                 word = hidden
-            elif _STARRED.search(word):  # letters behind asterisks: the first insult that fits
+            elif _STARRED.search(word):  # letters behind asterisks: the strongest word that fits
                 fits = re.compile(re.sub(r"\\\*+", r"\\w+", re.escape(word)))
-                if fit := next((w for w in SEED_WORDS if fits.fullmatch(w)), None):
+                if fit := next((w for w in self.lexicon if fits.fullmatch(w)), None):
                     word, place, code = fit, self.lexicon[fit], code | 32
-        code |= (word in self.seed) | (word in SECOND_PERSON) << 1 | (len(word) > 2 and form.isupper()) << 2 | masked << 3 | bool(_REPEAT.search(word)) << 4
+        code |= (word in SECOND_PERSON) << 1 | (len(word) > 2 and form.isupper()) << 2 | masked << 3 | bool(_REPEAT.search(word)) << 4
         self[form] = code = code | place << 6
         return code
 
@@ -90,7 +90,7 @@ def features(text: str, words: Words, weights: np.ndarray) -> list[float]:
     place = codes >> 6
     hit = np.flatnonzero(place)
     you = np.flatnonzero(codes & 2)
-    seed = int((codes & 1).sum())
+    strong = int((weights[place] >= STRONG).sum())
     if len(hit) and len(you):
         at = np.searchsorted(you, hit)
         gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - hit), np.abs(you[np.maximum(at - 1, 0)] - hit))
@@ -99,7 +99,7 @@ def features(text: str, words: Words, weights: np.ndarray) -> list[float]:
         near, distance = 0.0, 1000.0
     most = float((np.searchsorted(hit, hit + WINDOW) - np.arange(len(hit))).max()) if len(hit) else 0.0
     return [
-        math.log1p(n), length / base, seed, seed / base, len(hit), len(hit) / base, float(weights[place].sum()) / base, float(len(np.unique(place[hit]))), most,
+        math.log1p(n), length / base, strong, strong / base, len(hit), len(hit) / base, float(weights[place].sum()) / base, float(len(np.unique(place[hit]))), most,
         int((codes & 32).sum() >> 5) / base, len(you) / base, near, min(distance, 1000.0), int((codes & 4).sum() >> 2) / base, int((codes[hit] & 4).sum() >> 2),
         text.count("!") / length, text.count("?") / length, sum(map(text.count, "*#$%&@|")) / length,
         int((codes & 8).sum() >> 3) / base, int((codes & 16).sum() >> 4) / base, sum(map(text.count, "0123456789")) / length,
@@ -190,7 +190,6 @@ class Model:
 def _lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, int], np.ndarray]:
     """Words with their places from 1, and the log odds of each place, from (word, toxic documents, clean documents)."""
     odds = {w: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1)) for w, t, c in rows}
-    odds |= {w: max(odds.get(w, 0.0), 2.0) for w in SEED_WORDS}
     best = sorted(odds, key=lambda w: (-odds[w], w))
     return {w: i + 1 for i, w in enumerate(best)}, np.array([0.0, *(odds[w] for w in best)])
 
