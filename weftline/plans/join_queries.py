@@ -199,6 +199,7 @@ FROM unnest(['glove', 'fasttext']) t(e), unnest(['incv3', 'resnet50', 'finetuned
 WHERE NOT (a = 'attention' AND o = 'true')""")
 def config_grid(spark: SparkSession, d: str) -> DataFrame:
     """The grid of fixed parameter lists: a product of constants, not of tables."""
+    # fixed values of the grid
     lists = {"embedding": ["glove", "fasttext"], "extractor": ["incv3", "resnet50", "finetuned"], "architecture": ["merge", "attention", "parinject", "brownlee"], "dropout": ["true", "false"]}
     grid = spark.range(1).select(F.array(*map(F.lit, lists["embedding"])).alias("l")).select(F.explode("l").alias("embedding"))
     for name in list(lists)[1:]:
