@@ -286,6 +286,35 @@ def test_pii_clean(text):
     assert pii.find_spans(text) == []
 
 
+@pytest.mark.parametrize("text,kind,found", [
+    ("ring plus four, nine, one, two, three, four, five, six, seven, eight ok", "phone", "plus four, nine, one, two, three, four, five, six, seven, eight"),
+    ("ring plus four - nine - one - two - three - four - five - six - seven ok", "phone", "plus four - nine - one - two - three - four - five - six - seven"),
+    ("ring plus four  nine  one  two  three  four  five  six  seven ok", "phone", "plus four  nine  one  two  three  four  five  six  seven"),
+    ("ring plus four 9 one 5 two 3 four 5 nine 1 ok", "phone", "plus four 9 one 5 two 3 four 5 nine 1"),
+    ("four 1 one 1, one 1 one 1, one 1 one 1, one 1 one 1", "card", "four 1 one 1, one 1 one 1, one 1 one 1, one 1 one 1"),
+    ("(one 9 2 dot 1 6 8 dot 0 dot 1)", "ip", "one 9 2 dot 1 6 8 dot 0 dot 1"),
+    ("one, nine, two dot one, six, eight dot zero dot one", "ip", "one, nine, two dot one, six, eight dot zero dot one"),
+    ("plus four one two three four five n\u0130ne six seven", "phone", "plus four one two three four five n\u0130ne six seven"),
+    ("mail JOHN_AT_EXAMPLE.COM now", "email", "JOHN_AT_EXAMPLE.COM"),
+    ("mail John-At-Example.com now", "email", "John-At-Example.com"),
+])
+def test_pii_separators(text, kind, found):
+    assert (kind, found, False) in [(pii.KINDS[k], text[s:e], b) for k, s, e, b in pii.find_spans(text)]
+
+
+def test_pii_pretests(monkeypatch):
+    """What the pre-tests pass over, the patterns find nothing in."""
+    import random
+
+    r = random.Random(3)
+    parts = ["one", "Nine", "CINCO", "four", "un", "plus", "dot", "at", "4", "27", "x", "john", "example", "com", "AT", "_at_", "_AT_", "-At-", "N\u0130NE", "(", ".", "+", "@"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", "  ", ", ", " - ", "-", "", "\n"]) for _ in range(r.randint(4, 14))) for _ in range(20000)]
+    got = [pii.find_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_may_speak", lambda text, low: True)
+    monkeypatch.setattr(pii, "_may_spell", lambda low: True)
+    assert got == [pii.find_spans(t) for t in texts] and any(got)
+
+
 def test_pii_query(spark, edge):
     for folder in (edge, SMALL):
         got = rows_of(queries.QUERIES["op5_pii"](spark, folder).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"))

@@ -7,6 +7,7 @@ keeps the source span that it came from, so that what is found in the view maps
 
 from __future__ import annotations
 
+import operator
 import re
 import sys
 import unicodedata
@@ -62,7 +63,7 @@ SPOKEN = re.compile(
 )
 SPOKEN_PART = re.compile(rf" (?:(?P<at>{AT})|(?P<dot>{DOT})) | ?(?P<sign>_at_|-at-|@) ?", re.I)
 SPOKEN_HINTS = tuple(f" {d} " for d in DOT.split("|"))
-MARKED_HINTS = (" AT ", "_at_", "-at-")
+MARKED_HINTS = ("_at_", "-at-")
 
 #: At least four spelled digits, with real ones, signs and separators between them.
 DIGITS = re.compile(
@@ -171,7 +172,24 @@ def _spoken(text: str) -> Iterable[tuple[int, int, str]]:
 def _digits(text: str) -> Iterable[tuple[int, int, str]]:
     for m in DIGITS.finditer(text):
         for p in DIGITS_PART.finditer(text, *m.span()):
-            yield p.start(), p.end(), "+" if p["plus"] else "." if p["dot"] else SPELLED[p["word"].lower()] if p["word"] else ""
+            yield p.start(), p.end(), "+" if p["plus"] else "." if p["dot"] else SPELLED[_lower(p["word"])] if p["word"] else ""
+
+
+def _lower(text: str) -> str:
+    """Lower case as re.I sees it, for which \u0130 is an i and not two characters."""
+    return text.replace("\u0130", "i").lower()
+
+
+def _may_speak(text: str, low: str) -> bool:
+    """Whether _spoken() can change the text: each form has a spelled dot or a marked "at"."""
+    return any(h in low for h in SPOKEN_HINTS) or " AT " in text or any(h in low for h in MARKED_HINTS)
+
+
+def _may_spell(low: str) -> bool:
+    """Whether DIGITS can match. Its first and last parts may touch other signs, but those between them are words or
+    numbers of their own, so at least two stand next to each other once the separators are gone."""
+    parts = list(filter(None, low.replace(",", " ").replace("-", " ").split(" ")))
+    return b"\1\1" in bytes(map(operator.or_, map(DIGIT_WORDS.__contains__, parts), map(str.isdigit, parts)))
 
 
 def _may_fold(text: str) -> bool:
@@ -192,11 +210,11 @@ def view(text: str) -> View | None:
         v.rewrite((m.start(), m.end(), FOLDS[ord(m[0])]) for m in _FOLD_CLASS.finditer(text))
     if any(c in v.text for c in "([{<"):
         v.rewrite(_brackets(v.text))
-    low = v.text.lower()
-    if any(h in low for h in SPOKEN_HINTS) or any(h in v.text for h in MARKED_HINTS):
+    low = _lower(v.text)
+    if _may_speak(v.text, low):
         v.rewrite(_spoken(v.text))
-    words = low.replace(",", " ").replace("-", " ").split(" ")
-    if b"\1\1" in bytes(map(DIGIT_WORDS.__contains__, words)):
+        low = _lower(v.text)
+    if _may_spell(low):
         v.rewrite(_digits(v.text))
     return None if v.text is text else v
 
