@@ -148,6 +148,17 @@ def test_jaccard_groups(spark, monkeypatch):
     assert got == near_brute(texts)
 
 
+def test_jaccard_skewed(spark):
+    """A large group of close copies does not end the search for pairs at the threshold."""
+    base = prose(60, 60)
+    texts = [(10_000 + i, f"{base} w{i}") for i in range(400)]
+    for i in range(500):
+        words = prose(100 + i, 49).split()
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:24], "other", *words[25:]]))]  # 40 of 50 shingles
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_copies(documents(spark, texts)).collect()}
+    assert got == {d: (10_000, 399) if d >= 10_000 else (d - d % 2, 1) for d, _ in texts}
+
+
 def test_jaccard_short_texts(spark):
     texts = [(i, prose(i % 7, 3 + i % 4)) for i in range(60)] + [(100, "a b"), (101, "a b"), (102, "b a")]
     assert rows_of(jaccard.near_copies(documents(spark, texts))) == near_brute(texts)

@@ -1,10 +1,9 @@
 """N-gram Jaccard join: a MinHash LSH forest over word shingles, then exact verification.
 
 Each tree of the forest orders documents by a signature of its own; a node of its prefix trie is a run of documents
-that share their first hashes. Matching starts at long prefixes and shortens them until enough of the pairs are found:
-the recall comes from the similarities of the pairs found so far, each of which stands for 1 / p pairs if a pair of
-its similarity shares a prefix with probability p. At the shortest length even a pair at the threshold is found with
-the target probability.
+that share their first hashes. Matching takes the longest prefixes at which even a pair at the threshold is found with
+the target probability, whatever the similarities of the other pairs: large groups of close copies say nothing about
+pairs elsewhere. Pairs that share a longer prefix share this one, so one length is enough.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from .substrings import Hashes, run_hashes, words_of
 #: Words of a shingle and least similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
 
-#: Trees, lengths of prefixes from long to short, and the recall to reach.
+#: Trees, lengths of prefixes from long to short, and the recall to reach for a pair at the threshold.
 TREES, LENGTHS, RECALL = 20, (7, 5, 4), 0.9999
 
 #: Shingles and documents of a block; a node's blocks are compared two at a time.
@@ -119,23 +118,21 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.round().astype(np.int64)
 
 
-def _verify(level: int, threshold: Fraction):
-    """Of rows of node blocks, sorted by node, i, j: (ck, root, links, found, expected)."""
+def _verify(threshold: Fraction):
+    """Of rows of node blocks, sorted by node, i, j: (ck, root, links)."""
 
     def compare(tree: int, i: int, j: int, rows: list[tuple]) -> pa.RecordBatch | None:
         left = [r for r in rows if r[0] == i]
         right = [r for r in rows if r[0] == j] if i != j else left
         if not left or not right or i == j and len(left) < 2:
             return None
-        keys = [np.array([r[3] for r in x], np.int64).reshape(len(x), len(LENGTHS), TREES) for x in (left, right)]
-        # a pair is compared where it meets first: at this length, in the first of its trees
+        keys = [np.array([r[3] for r in x], np.int64).reshape(len(x), TREES) for x in (left, right)]
+        # a pair is compared where it meets first: in the first of its trees
         fresh = np.ones((len(left), len(right)), bool)
         if i == j:
             fresh &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-        for t in range(TREES):
-            for d in range(level + 1):
-                if d < level or t < tree:
-                    fresh &= keys[0][:, d, t][:, None] != keys[1][:, d, t][None, :]
+        for t in range(tree):
+            fresh &= keys[0][:, t][:, None] != keys[1][:, t][None, :]
         rows_on, columns_on = np.flatnonzero(fresh.any(1)), np.flatnonzero(fresh.any(0))
         if not len(rows_on):
             return None
@@ -147,7 +144,6 @@ def _verify(level: int, threshold: Fraction):
         p, q = np.nonzero(linked)
         if not len(p):
             return None
-        expected = float((1 / found_with(both[p, q] / union[p, q], LENGTHS[level])).sum())
         names = sorted({r[1] for r in a} | {r[1] for r in b})
         place = {x: k for k, x in enumerate(names)}
         pa_, qa_ = np.array([place[r[1]] for r in a])[p], np.array([place[r[1]] for r in b])[q]
@@ -155,11 +151,9 @@ def _verify(level: int, threshold: Fraction):
         links = np.bincount(pa_, copies_b[q], len(names)) + np.bincount(qa_, copies_a[p], len(names))
         low = _lowest(pa_, qa_, len(names))
         hit = np.flatnonzero(links)
-        stats = np.zeros((2, len(hit)))
-        stats[:, 0] = len(p), expected
         return pa.RecordBatch.from_arrays(
-            [pa.array([names[k] for k in hit], pa.binary()), pa.array([names[low[k]] for k in hit], pa.binary()), pa.array(links[hit].astype(np.int64)), pa.array(stats[0]), pa.array(stats[1])],
-            names=["ck", "root", "links", "found", "expected"],
+            [pa.array([names[k] for k in hit], pa.binary()), pa.array([names[low[k]] for k in hit], pa.binary()), pa.array(links[hit].astype(np.int64))],
+            names=["ck", "root", "links"],
         )
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,19 +203,16 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     other columns are ignored.
     """
     exact = Fraction(str(threshold))
-    lengths = [k for k, d in enumerate(LENGTHS)]
-    reached = [k for k in lengths if found_with(threshold, LENGTHS[k]) >= recall]
-    lengths = lengths[: (reached[0] if reached else lengths[-1]) + 1]
+    level = next((k for k, d in enumerate(LENGTHS) if found_with(threshold, d) >= recall), len(LENGTHS) - 1)
     new = [T.StructField("n", T.IntegerType()), T.StructField("ck", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     schema = T.StructType([docs.schema["doc_id"], *new])
     signed = docs.select("doc_id", text_of().alias("text")).mapInArrow(_sign, schema)
-    signed = cut(signed, "signed")
+    signed = cut(signed.withColumn("keys", F.slice("keys", level * TREES + 1, TREES)), "signed")
     classes = signed.where("ck is not null and doc_id is not null").groupBy("ck")
     classes = cut(classes.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
 
-    # classes that share a node of the shortest length with another
-    last = lengths[-1] * TREES
-    nodes = classes.select("ck", F.explode(F.slice("keys", last + 1, TREES)).alias("node"))
+    # classes that share a node with another
+    nodes = classes.select("ck", F.explode("keys").alias("node"))
     shared = nodes.groupBy("node").count().where("count > 1").select("node")
     met = cut(nodes.join(shared, "node", "left_semi").select("ck").distinct(), "met")
     survivors = cut(classes.join(met, "ck", "left_semi"), "survivors")
@@ -236,19 +227,12 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     packed = survivors.select("ck", F.col("copies"), F.col("keys")).withColumnRenamed("ck", "ck2")
     sets = cut(sets.join(packed, F.col("ck") == F.col("ck2")).drop("ck2"), "sets")
 
-    seen: DataFrame | None = None
-    links: list[DataFrame] = []
-    found = expected = 0.0
-    for k in lengths:
-        member = survivors.select("ck", "n", F.posexplode(F.slice("keys", k * TREES + 1, TREES)).alias("tree", "node"))
-        print_of = [F.bit_xor(F.xxhash64("ck")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "ck")).alias("f2"), F.count("*").alias("c")]
-        node = member.groupBy("tree", "node").agg(*print_of, F.sum("n").alias("w")).where("c > 1")
-        fresh = node.groupBy("f1", "f2", "c").agg(F.min(F.struct("tree", "node")).alias("at"), F.first("w").alias("w"))
-        if seen is not None:
-            fresh = fresh.join(seen, ["f1", "f2", "c"], "left_anti")
-        fresh = cut(fresh, "nodes")
-        if fresh.isEmpty():
-            continue
+    member = survivors.select("ck", "n", F.posexplode("keys").alias("tree", "node"))
+    print_of = [F.bit_xor(F.xxhash64("ck")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "ck")).alias("f2"), F.count("*").alias("c")]
+    node = member.groupBy("tree", "node").agg(*print_of, F.sum("n").alias("w")).where("c > 1")
+    fresh = cut(node.groupBy("f1", "f2", "c").agg(F.min(F.struct("tree", "node")).alias("at"), F.first("w").alias("w")), "nodes")
+    links: DataFrame | None = None
+    if not fresh.isEmpty():
         blocks = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("c") / BLOCK_DOCS)).cast("int")
         fresh_nodes = fresh.select(F.col("at.tree").alias("tree"), F.col("at.node").alias("node"), blocks.alias("blocks"))
         work = member.join(fresh_nodes, ["tree", "node"]).withColumn("b", F.pmod(F.xxhash64(F.lit(2), "ck"), F.col("blocks")).cast("int"))
@@ -256,22 +240,12 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
         work = work.select(F.col("ck").alias("ck2"), "node", "tree", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b")
         joined = work.join(sets, F.col("ck2") == F.col("ck")).select("node", "tree", "i", "j", "b", "ck", "copies", "keys", "sh")
         grouped = joined.repartition("node", "i", "j").sortWithinPartitions("node", "tree", "i", "j")
-        out = cut(grouped.mapInArrow(_verify(k, exact), "ck binary, root binary, links long, found double, expected double"), "links")
-        links.append(out)
-        sums = out.agg(F.sum("found"), F.sum("expected")).first()
-        found, expected = found + (sums[0] or 0.0), expected + (sums[1] or 0.0)
-        now = fresh.select("f1", "f2", "c")
-        seen = now if seen is None else seen.unionByName(now)
-        if found and found / expected >= recall:
-            break
+        links = cut(grouped.mapInArrow(_verify(exact), "ck binary, root binary, links long"), "links")
     every = signed.select("doc_id", "ck")
     of_class = classes.select("ck", "first_id", "copies")
-    if links:
-        all_links = links[0]
-        for more in links[1:]:
-            all_links = all_links.unionByName(more)
-        parts = components(all_links.select(F.col("ck").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "ck2")
-        sums = all_links.groupBy("ck").agg(F.sum("links").alias("links")).withColumnRenamed("ck", "ck3")
+    if links is not None:
+        parts = components(links.select(F.col("ck").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "ck2")
+        sums = links.groupBy("ck").agg(F.sum("links").alias("links")).withColumnRenamed("ck", "ck3")
         of_class = of_class.join(parts, F.col("ck") == F.col("ck2"), "left").join(sums, F.col("ck") == F.col("ck3"), "left")
         of_class = cut(of_class.select("ck", "first_id", F.coalesce("component", "ck").alias("part"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "parts")
         heads = of_class.groupBy("part").agg(F.min("first_id").alias("class_id"))
