@@ -189,6 +189,42 @@ def test_decoders(spark):
     assert best[1] in ("b", "a", "a c c c c c") and {"b"} <= set(best.values())
 
 
+def beam_brute(first, probs, width=3, most=12):
+    live, done, k, shrinks = [(first, [], 0.0)], [], width, False
+    for _ in range(most):
+        grown = []
+        for last, words, score in live:
+            best = sorted(probs.get(last, {"endseq": 1.0}).items(), key=lambda x: (-x[1], x[0]))[:width]
+            grown += [(score + math.log(p), words, w) for w, p in best]
+            shrinks |= best[0][0] == "endseq"
+        grown = sorted(grown, key=lambda g: (-g[0], " ".join([*g[1], g[2]])))[:k]
+        k -= shrinks
+        done += [(words, score / (len(words) + 1)) for score, words, w in grown if w == "endseq"]
+        live = [(w, [*words, w], score) for score, words, w in grown if w != "endseq" and k > 0]
+        if not live:
+            break
+    done += [(words, score / len(words)) for _, words, score in live]
+    done = sorted(((" ".join(w), s) for w, s in done), key=lambda x: (-x[1], x[0]))
+    return [(place, w, round(s, 6)) for place, (w, s) in enumerate(done, 1)]
+
+
+def test_beam_of_every_pair(spark, tmp_path):
+    """Each pair's beam begins after the first word of its reference, known to the scorer or not, or after the start token."""
+    talk = [("red shoes", "red shoes fit well"), ("blue hat", "the blue hat is warm"), ("the coat", "the coat is red"), ("zebra", "red hat"), ("", "the red coat is red and warm"), ("blue", "blue shoes and the blue hat")]
+    rows = [(c, t, r, x) for c, pair in enumerate(talk) for t, (r, x) in enumerate(zip(("user", "assistant"), pair))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    counts = {}
+    for _, answer in talk:
+        w = ["startseq", *answer.split(), "endseq"]
+        for a, b in zip(w, w[1:]):
+            counts.setdefault(a, Counter())[b] += 1
+    probs = {a: {b: n / c.total() for b, n in c.items()} for a, c in counts.items()}
+    got = sorted(tuple(r) for r in queries.QUERIES["beam_search"](spark, str(tmp_path)).select("pair_id", "place", "words", "score").collect())
+    firsts = {f"{c}:0": (ref.split() or ["startseq"])[0] for c, (ref, _) in enumerate(talk)}
+    assert got == sorted((p, *h) for p, first in firsts.items() for h in beam_brute(first, probs))
+    assert {r[0] for r in got} == set(firsts) and len({r[2] for r in got if r[1] == 1}) > 2
+
+
 def test_vectors_file(spark, tmp_path):
     path = tmp_path / "vec.50d.txt"
     path.write_text("2 3\nw 1 2 3\nbad 1 x 3\nv 4 5 6\nw 7 8 9\n")

@@ -209,9 +209,9 @@ def greedy_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("beam_search")
 def beam_search(spark: SparkSession, d: str) -> DataFrame:
-    """The best sentences of each source, from a scorer of its own language's answers."""
-    inputs = table(spark, d, "documents").select("source").distinct()
-    return _rounded(decode.beam(inputs, "source", decode.bigram_scorer(_words(spark, d), "w")), "score")
+    """The best continuations of each reference's first word, by the bigrams of the answers."""
+    inputs = _pairs(spark, d).select("pair_id", F.get("ref", F.lit(0)).alias("first"))
+    return _rounded(decode.beam(inputs, "pair_id", decode.bigram_scorer(_words(spark, d), "w"), start="first"), "score")
 
 
 @R.add("stream_dedupe", "SELECT split_part(url, '?', 1) AS url, count(DISTINCT split_part(url, '?', 1)) AS n FROM pages GROUP BY 1")
