@@ -164,6 +164,15 @@ def test_jaccard_short_texts(spark):
     assert rows_of(jaccard.near_copies(documents(spark, texts))) == near_brute(texts)
 
 
+def test_jaccard_repeated_ids(spark):
+    """Only the text that is a near copy goes, not another one with its doc_id."""
+    texts = [(1, prose(70, 80)), (2, prose(70, 80) + " end"), (2, prose(71, 80)), (2, None), (3, prose(72, 80))]
+    docs = documents(spark, texts)
+    left = jaccard.drop_near_copies(docs)
+    assert left.schema == docs.schema
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted((t for k, t in enumerate(texts) if k != 1), key=repr)
+
+
 def passages_brute(texts):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in texts]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))

@@ -202,6 +202,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     null, kept true). Rows that repeat a doc_id with an equal text link to each other. An empty table gives no rows;
     other columns are ignored.
     """
+    return _near_classes(docs, threshold, recall).select("doc_id", "class_id", "n_links", "kept")
+
+
+def _near_classes(docs: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
+    """The columns of near_copies, and ck, the class key of the row's text."""
     exact = Fraction(str(threshold))
     level = next((k for k, d in enumerate(LENGTHS) if found_with(threshold, d) >= recall), len(LENGTHS) - 1)
     new = [T.StructField("n", T.IntegerType()), T.StructField("ck", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
@@ -254,19 +259,29 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
         of_class = of_class.select(F.col("ck").alias("__ck"), F.col("first_id").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
     joined = every.join(of_class, (F.col("ck") == F.col("__ck")) & F.col("doc_id").isNotNull(), "left")
     head = F.coalesce("class_id", "doc_id")
-    return joined.select("doc_id", head.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(head).alias("kept"))
+    return joined.select("doc_id", "ck", head.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(head).alias("kept"))
+
+
+def _with_key(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = Hashes()
+    for frame in frames:
+        sets = (shingles(t.as_py() or "", hashes) for t in frame.column(frame.schema.get_field_index("text")))
+        keys = [class_key(found) if len(found) else None for found in sets]
+        yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(keys, pa.binary())], names=[*frame.schema.names, "__key"])
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of linked ones, that with the smallest doc_id; all columns kept.
 
-    Of rows that repeat the doc_id that stays, one of each text stays.
+    Of rows that repeat the doc_id that stays, one of each text stays. Where a doc_id repeats with different texts,
+    each text stays or goes with its own group.
     """
-    found = cut(near_copies(docs, threshold), "near")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    found = cut(_near_classes(docs, threshold), "near")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("ck").alias("__ck")).distinct()
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
-        return left
+        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    keyed = docs.mapInArrow(_with_key, T.StructType([*docs.schema, T.StructField("__key", T.BinaryType())]))
+    left = keyed.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__ck")), "left_anti").drop("__key")
     return left.dropDuplicates(["doc_id", "text"])
 
 
