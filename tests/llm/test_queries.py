@@ -234,6 +234,17 @@ def test_vectors_tiles(spark, monkeypatch):
     assert rows_of(got) == vectors_brute(rows)
 
 
+def test_vectors_repeated_ids(spark, monkeypatch):
+    """Vectors that share an id, in tiles that start with the same id."""
+    monkeypatch.setattr(vectors, "TILE", 10)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(6, 24))
+    x = centres[r.integers(0, 6, 120)] + r.normal(size=(120, 24)) * r.uniform(0, 0.5, (120, 1))
+    rows = [(i % 3, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert rows_of(got) == vectors_brute(rows)
+
+
 def test_pieces_against_library(spark, edge):
     import sentencepiece
 

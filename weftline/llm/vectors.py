@@ -108,7 +108,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     Null and zero vectors and those with null or non-finite components link with nothing, not even with each other;
     a shorter vector counts as filled with zeros. n_links counts the other rows linked directly. Rows that
-    repeat a vec_id are rows of one node, with links of their own where their vectors differ; a null vec_id links
+    repeat a vec_id have links and a component of their own where their vectors differ; a null vec_id links
     with nothing. component_id is the smallest vec_id reachable. An empty table gives no rows; other columns are ignored.
     """
     if not 0 < threshold <= 1:
@@ -123,7 +123,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     # zeros at the end do not change a vector, and -0.0 equals 0.0
     filled = F.transform(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))), lambda x: x + F.lit(0.0))
     members = rows.where("ok").select("vec_id", filled.alias("v"))
-    classes = cut(members.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    # classes and tiles have numbers of their own, as a vec_id may stand for several vectors
+    classes = members.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    classes = cut(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     basis = spark.sparkContext.broadcast(_basis(classes, width))
     n_classes = classes.count()
     far = float(np.sqrt(2 - 2 * threshold)) + 1e-9
@@ -217,9 +219,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     work = work.select("b", "a", "ids_a", "copies_a", "x_a", "ids_b", "copies_b", "x_b")
     found = cut(work.mapInArrow(compare, "class_id long, root long, links long"), "links")
     sums = found.groupBy("class_id").agg(F.sum("links").alias("links")).withColumnRenamed("class_id", "n1")
-    parts = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "n2")
+    parts = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
+    named = parts.join(classes.select(F.col("class_id").alias("n3"), "first_id"), F.col("node") == F.col("n3"))
+    heads = named.groupBy("component").agg(F.min("first_id").alias("head"))
+    parts = parts.join(heads, "component").select(F.col("node").alias("n2"), "head")
     of_class = classes.join(sums, F.col("class_id") == F.col("n1"), "left").join(parts, F.col("class_id") == F.col("n2"), "left")
-    of_class = of_class.select(F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    of_class = of_class.select(F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "first_id").alias("component_id"))
     linked = members.join(of_class, F.col("v") == F.col("w")).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(rows.where("NOT ok").select("vec_id", *alone))
 
