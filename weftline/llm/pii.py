@@ -46,6 +46,7 @@ SPELLED = {
 
 AT, DOT = "at|arroba|chez|aet", "dot|punkt|point|punto|period"
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
+#: Local parts and labels in disguise have the lengths that mail and names allow, 64 and 63 characters.
 _BARE = r"[A-Za-z0-9._%+-]{1,64}"
 
 #: A bracketed "at" or "dot"; blanks before it are taken along.
@@ -65,9 +66,10 @@ SPOKEN_PART = re.compile(rf" (?:(?P<at>{AT})|(?P<dot>{DOT})) | ?(?P<sign>_at_|-a
 SPOKEN_HINTS = tuple(f" {d} " for d in DOT.split("|"))
 MARKED_HINTS = ("_at_", "-at-")
 
-#: At least four spelled digits, with real ones, signs and separators between them.
+#: At least four spelled digits or numbers, the first one spelled, with signs and separators between them; a run is read
+#: as a whole, however long.
 DIGITS = re.compile(
-    rf"(?:\bplus[ -]{{1,3}}|\+ ?)?(?<![^\W\d_])(?:{_DIGIT_WORD})(?:[ ,-]{{1,3}}(?:(?:{DOT}) {{1,3}})?(?:{_DIGIT_WORD}|[0-9]{{1,19}})){{3,40}}(?![^\W\d_])", re.I
+    rf"(?:\bplus[ -]{{1,3}}|\+ ?)?(?<![^\W\d_])(?:{_DIGIT_WORD})(?:[ ,-]{{1,3}}(?:(?:{DOT}) {{1,3}})?(?:{_DIGIT_WORD}|[0-9]{{1,19}})(?![^\W\d_])){{3,}}+", re.I
 )
 DIGITS_PART = re.compile(rf"(?P<plus>plus[ -]*)|(?P<dot>[ ,-]*(?:{DOT}) *)|(?P<word>{_DIGIT_WORD})|(?P<gap>[ ,-]+)", re.I)
 DIGIT_WORDS = frozenset(SPELLED) | frozenset(DOT.split("|"))
@@ -123,7 +125,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(low, at + 1))
     if DIGIT.search(text):
         if text.count(".") >= 3:
-            out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(1, *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13 and 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d):
                 out.append((2, *m.span()))
