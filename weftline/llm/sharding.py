@@ -67,10 +67,17 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """docs as Parquet under path, one folder for each shard, named by its depth and prefix."""
-    shards = assign_shards(docs, limit).select(F.col("doc_id").alias("__id"), F.concat_ws("-", "shard_depth", "shard_prefix").alias("shard")).distinct()
-    joined = docs.drop("shard").join(shards, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """docs as Parquet under path, one folder for each shard, named by its depth and prefix.
+
+    All columns of docs are in the files. The folder column is called shard, or with underscores before it where docs
+    has a column of that name.
+    """
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    shards = assign_shards(docs, limit).select(F.col("doc_id").alias("__id"), F.concat_ws("-", "shard_depth", "shard_prefix").alias(name)).distinct()
+    joined = docs.join(shards, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    joined.repartition(name).write.partitionBy(name).parquet(path)
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
