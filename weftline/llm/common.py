@@ -18,7 +18,23 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Hadoop's plain file system for file: paths. The default one starts two processes (chmod) for each file that a task
+#: writes, one of them for a checksum file. Shared folders of any other scheme are not touched by this.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+#: Bytes of a partition that compact() aims at.
+FILE_BYTES = 64 << 20
+
+
+#: Bytes of whole texts that go to Python at a time. Spark's own limit, 64 MB, is held several times over by each task.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries and the pipeline. Lowers the session's limit of Arrow batches, which Spark has no option
+    for that would hold for one plan alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,10 +76,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
         _cleaned.add(folder)
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """df in partitions of about FILE_BYTES by Spark's own estimate of its size, without a shuffle, for tables that are
+    written next; never in fewer than two for each core, nor in more than it has."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES), 1 << 30))
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table that cut() wrote and that nothing reads any more."""
     for file in df.inputFiles()[:1]:
@@ -75,6 +98,11 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, which tells rows apart that share an id."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}).cast("binary"))
+
+
 def sha256_text(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
