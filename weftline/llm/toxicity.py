@@ -5,20 +5,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import batches, cut, id_crc, table
+from .common import batches, cut, id_crc, table, text_of
 
 #: Labelled documents to learn from, in expectation; with more, those with the smallest hashes of doc_id.
 SAMPLE = 20_000
 
-#: Learned words of the lexicon at most, and the least number of toxic documents of a half of the sample with a word.
-WORDS, LEAST = 2_000, 4
+#: Words of a lexicon at most, those with the highest odds: it bounds what the model knows, not what it is learned from.
+#: A word needs LEAST toxic documents, and to be RATIO times as frequent among toxic documents as among others.
+WORDS, LEAST, RATIO = 2_000, 8, 4.0
+
+#: Parts of the sample: a document's features, and its score for the calibration, are learned from the other ones.
+FOLDS = 4
 
 #: Log odds from which a word of the lexicon counts as strong.
 STRONG = 3.0
@@ -30,7 +34,9 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 
 WINDOW = 50
 NEAR = 5
-CACHE = 150_000
+
+#: Word forms that a worker keeps, and the length from which one is worked out anew each time.
+CACHE, LONG = 100_000, 64
 
 _EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 _REPEAT = re.compile(r"(.)\1{2,}")
@@ -75,7 +81,9 @@ class Words(dict):
                 if fit := next((w for w in self.lexicon if fits.fullmatch(w)), None):
                     word, place, code = fit, self.lexicon[fit], code | 32
         code |= (word in SECOND_PERSON) << 1 | (len(word) > 2 and form.isupper()) << 2 | masked << 3 | bool(_REPEAT.search(word)) << 4
-        self[form] = code = code | place << 6
+        code |= place << 6
+        if len(form) < LONG:
+            self[form] = code
         return code
 
 
@@ -181,7 +189,7 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities; the trees' own score only orders documents within a calibrated step."""
+        """Calibrated probabilities: steps of equal ones, joined by straight lines where the trees' score lies between two."""
         if self.trees is None:
             return np.full(len(x), float(self.steps[1][0]))
         return np.clip(np.interp(self.trees.raw(x), *self.steps), 0.0, 1.0)
@@ -196,20 +204,38 @@ def _lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tu
 
 def _count_words(frame: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
     found: Counter = Counter()
-    for text, half, y in zip(*(c.to_pylist() for c in frame.columns)):
-        found.update((w, half, y) for w in {plain(f) for f in set((text or "").split())} if w)
+    for text, fold, y in zip(*(c.to_pylist() for c in frame.columns)):
+        found.update((w, fold, y) for w in {plain(f) for f in set((text or "").split())} if w)
     if found:
-        word, half, y = zip(*found)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(half, pa.int32()), pa.array(y, pa.int32()), pa.array(found.values(), pa.int64())], names=["word", "half", "y", "n"])
-
-
-def _with_features(docs: DataFrame, columns: list[str], lexicons: list[tuple[dict[str, int], np.ndarray]], which: str | None = None) -> DataFrame:
+        word, fold, y = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(fold, pa.int32()), pa.array(y, pa.int32()), pa.array(found.values(), pa.int64())], names=["word", "fold", "y", "n"])
+
+
+def _lexicons(chosen: DataFrame, sizes: dict[tuple[int, int], int]) -> list[tuple[dict[str, int], np.ndarray]]:
+    """For each fold the lexicon of all other folds, words selected and weighed there, then that of all folds."""
+    words = chosen.select("text", "fold", "y").mapInArrow(batches(_count_words), "word string, fold int, y int, n long")
+    pick = lambda k, y: F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{k}{y}")
+    counts = words.groupBy("word").agg(*[pick(k, y) for k in range(FOLDS) for y in (0, 1)])
+    out = []
+    counts = cut(counts.where(" + ".join(f"n{k}1" for k in range(FOLDS)) + f" >= {LEAST}"), "words")
+    for left_out in [*range(FOLDS), None]:
+        folds = [k for k in range(FOLDS) if k != left_out]
+        t, c = (sum((F.col(f"n{k}{y}") for k in folds), F.lit(0)) for y in (1, 0))
+        n_toxic, n_clean = (sum(sizes.get((k, y), 0) for k in folds) for y in (1, 0))
+        ratio = (t + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1))
+        rows = counts.where((t >= LEAST) & (ratio >= RATIO)).select("word", t.alias("t"), c.alias("c"), ratio.alias("r")).orderBy(F.desc("r"), "word").limit(WORDS)
+        out.append(_lexicon([(r["word"], r["t"], r["c"]) for r in rows.collect()], n_toxic, n_clean))
+    return out
+
+
+def _with_features(docs: DataFrame, columns: list[str], lexicons: list[tuple[dict[str, int], np.ndarray]], which: str) -> DataFrame:
+    """columns and x, the features of the text by the lexicon that the column which says."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         words = [Words(x) for x, _ in shared.value]
         for frame in frames:
-            pick = frame.column(columns.index(which)).to_pylist() if which else [0] * frame.num_rows
+            pick = frame.column(columns.index(which)).to_pylist()
             x = [features(t.as_py() or "", words[k], shared.value[k][1]) for t, k in zip(frame.column(len(columns)), pick)]
             yield pa.RecordBatch.from_arrays([*frame.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*columns, "x"])
 
@@ -222,37 +248,50 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     At most sample labelled documents in expectation are used, chosen by a hash of doc_id; a document with several
     labels counts as toxic if one says so, rows without a label or a document are left out. The driver receives the
-    words of the lexicon (at most WORDS) and one row of features for each document of the sample. Features of a
-    sample document use a lexicon learned from the other half of the sample, so that words of its own do not count
-    for it; the calibration uses scores from trees that have not seen the document.
+    lexicons (at most WORDS words each) and one row of features for each document of the sample.
+
+    The sample is cut into FOLDS parts by a hash of doc_id. The words of the lexicon that a sample document's features
+    use are selected and weighed in the other parts alone. The calibration uses scores from trees that were fitted to
+    the other parts alone; the features of those come from lexicons that may have counted the document's words.
+    Without documents of both classes the score is the only class; a part whose complement lacks a class scores 0 odds.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_crc() % 5 != 0))
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("y"))
     n = known.count()
     place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30))
-    known = known.where(place < min(1.0, sample / max(n, 1)) * (1 << 30)).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
+    known = known.where(place < min(1.0, sample / max(n, 1)) * (1 << 30)).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
     chosen = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(known), "doc_id")
-    chosen = cut(chosen.select(F.coalesce("text", F.lit("")).alias("text"), "half", "y", "doc_id"), "labelled")
-    sizes = {(r["half"], r["y"]): r["count"] for r in chosen.groupBy("half", "y").count().collect()}
-    size = lambda y, halves: sum(sizes.get((h, y), 0) for h in halves)
-    if not size(1, (0, 1)) or not size(0, (0, 1)):
-        return Model(*_lexicon([], 1, 1), None, (np.array([0.0]), np.array([1.0 if size(1, (0, 1)) else 0.0])))
-    words = chosen.select("text", "half", "y").mapInArrow(batches(_count_words), "word string, half int, y int, n long")
-    pick = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{h}{y}")
-    counts = words.groupBy("word").agg(*[pick(h, y) for h in (0, 1) for y in (0, 1)])
-    ratio = (F.col("n01") + F.col("n11") + 0.5) / (size(1, (0, 1)) + 1) / ((F.col("n00") + F.col("n10") + 0.5) / (size(0, (0, 1)) + 1))
-    counts = counts.where((F.col("n01") >= LEAST) & (F.col("n11") >= LEAST) & (ratio >= 4)).orderBy(-ratio, "word").limit(WORDS).collect()
-    both = _lexicon([(r["word"], r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in counts], size(1, (0, 1)), size(0, (0, 1)))
-    other = [_lexicon([(r["word"], r[f"n{h}1"], r[f"n{h}0"]) for r in counts], size(1, (h,)), size(0, (h,))) for h in (1, 0)]
-    rows = _with_features(chosen, ["doc_id", "half", "y"], other, "half").select("doc_id", "y", "x").collect()
+    chosen = cut(chosen.select(text_of().alias("text"), "fold", "y", "doc_id"), "labelled")
+    sizes = {(r["fold"], r["y"]): r["count"] for r in chosen.groupBy("fold", "y").count().collect()}
+    n_toxic, n_clean = (sum(n for (_, y), n in sizes.items() if y == want) for want in (1, 0))
+    if not n_toxic or not n_clean:
+        return Model(*_lexicon([], 1, 1), None, (np.array([0.0]), np.array([1.0 if n_toxic else 0.0])))
+    lexicons = _lexicons(chosen, sizes)
+    rows = _with_features(chosen, ["doc_id", "fold", "y"], lexicons[:-1], "fold").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float)
-    fold = np.arange(len(y)) % 3
+    x, y, fold = np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float), np.array([r["fold"] for r in rows])
     raw = np.zeros(len(y))
-    for k in range(3):
-        if 0 < y[fold != k].sum() < (fold != k).sum():
+    for k in range(FOLDS):
+        if (fold == k).any() and 0 < y[fold != k].sum() < (fold != k).sum():
             raw[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(*both, Trees().fit(x, y), isotonic(raw, y))
+    return Model(*lexicons[-1], Trees().fit(x, y), isotonic(raw, y))
+
+
+def score_column(spark: SparkSession, model: Model, text: str | Column = "text") -> Column:
+    """The score of a text. Only the text goes to Python and only the score comes back; the rest of a row stays."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Words(shared.value.lexicon)
+        for some in texts:
+            out = [np.empty(0)]
+            for at in range(0, len(some), 1000):
+                x = [features(t.as_py() or "", words, shared.value.weights) for t in some.slice(at, 1000)]
+                out.append(shared.value.score(np.array(x)))
+            yield pa.array(np.concatenate(out))
+
+    return score(text)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -260,31 +299,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     Equal texts get equal scores. An empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(frames: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words = Words(shared.value.lexicon)
-        for frame in frames:
-            if frame.num_rows:
-                x = np.array([features(t.as_py() or "", words, shared.value.weights) for t in frame.column(1)])
-                yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(shared.value.score(x))], names=["doc_id", "score"])
-
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    return docs.select("doc_id", score_column(docs.sparkSession, model).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns; no rows are moved."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-
-    def run(frames: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words = Words(shared.value.lexicon)
-        for frame in frames:
-            if frame.num_rows:
-                x = np.array([features(t.as_py() or "", words, shared.value.weights) for t in frame.column(at)])
-                yield frame.filter(pa.array(shared.value.score(x) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score_column(docs.sparkSession, model) < threshold)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
