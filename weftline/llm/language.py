@@ -1,60 +1,67 @@
-"""Language identification: a bidirectional gated recurrent network over bytes, trained in numpy.
+"""Language identification: a bidirectional gated recurrent network over the bytes of whole texts, trained in numpy.
 
-The network reads one window at a time: a run of letters (in lower case) between two border symbols, longer runs cut
-every WINDOW bytes. It labels every position; the log probabilities of all positions of all windows of a text are
-averaged into the document's probabilities. A window's result depends on its bytes alone, so each worker keeps the
-results of distinct windows and runs the network once for each. All letters of a text count.
+A text is read as its UTF-8 bytes in lower case, blanks, digits and marks included, in windows of STRIDE bytes with
+CONTEXT bytes before and after, over which the network's states warm up. It labels every byte; the log probabilities
+of all bytes of a text, each from the window that it belongs to, are averaged into the document's probabilities.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import batches, cut, id_crc, table
+from .common import cut, id_crc, table
 
-#: Documents of each language to learn from, in expectation, and windows of each; chosen by hashes.
-SAMPLE, WINDOWS = 600, 48
+#: Documents of each language to learn from, in expectation, and windows of each; chosen by hashes. Languages at most;
+#: with more, the most frequent ones.
+SAMPLE, WINDOWS, LANGUAGES = 600, 12, 500
 
-#: Bytes of a window at most; width of a direction's state.
-WINDOW, WIDTH = 30, 16
+#: Bytes that a window labels, and bytes on either side that it reads besides; width of a direction's state.
+STRIDE, CONTEXT, WIDTH = 96, 8, 8
 
-#: Distinct windows whose results a worker keeps.
-CACHE = 250_000
+#: Windows that the network reads at a time.
+BATCH = 1024
 
 BORDER, PAD = 256, 257
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def windows(text: str) -> list[str]:
-    """The runs of letters of a text, in lower case."""
-    return LETTERS.findall(text.lower())
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of the categories L*; number signs are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
-def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols (position x window, padded), lengths, and the word that each window is from."""
-    rows, owner = [], []
-    for i, w in enumerate(words):
-        b = w.encode()
-        for at in range(0, len(b), WINDOW):
-            rows.append(b[at : at + WINDOW])
-            owner.append(i)
-    length = np.array([len(r) + 2 for r in rows], np.int64)
-    x = np.full((len(rows), int(length.max(initial=2))), PAD, np.int64)
-    x[:, 0] = BORDER
-    flat = np.frombuffer(b"".join(rows), np.uint8)
-    inside = np.arange(x.shape[1])[None, :]
-    x[(inside > 0) & (inside < length[:, None] - 1)] = flat
-    x[np.arange(len(rows)), length - 1] = BORDER
-    return x.T, length, np.array(owner, np.int64)
+def encoded(text: str) -> np.ndarray:
+    """The symbols of a text: its bytes in lower case between two borders."""
+    flat = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    out = np.full(len(flat) + 2, BORDER, np.int16)
+    out[1:-1] = flat
+    return out
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (window x position, padded) of all windows of the texts, in order, and the number of windows of each."""
+    width = STRIDE + 2 * CONTEXT
+    rows, counts = [], []
+    for text in texts:
+        symbols = encoded(text)
+        n = -(-len(symbols) // STRIDE)
+        padded = np.full(n * STRIDE + 2 * CONTEXT, PAD, np.int16)
+        padded[CONTEXT : CONTEXT + len(symbols)] = symbols
+        rows.append(np.lib.stride_tricks.sliding_window_view(padded, width)[::STRIDE])
+        counts.append(n)
+    return np.concatenate(rows) if rows else np.empty((0, width), np.int16), np.array(counts, np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * 0.5) * 0.5 + 0.5
+    """The logistic function, in place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class Gru:
@@ -69,25 +76,34 @@ class Gru:
         }
 
     def forward(self, x: np.ndarray, live: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States of all positions of x (position x window); live marks positions that are not padding."""
+        """States of all positions of x (position x window); the state stays 0 before the first live position and as it
+        is over others that are padding."""
         n, w = x.shape[1], self.h
-        h, out, tape = np.zeros((n, w), np.float32), np.empty((*x.shape, w), np.float32), []
+        out, tape = np.empty((*x.shape, w), self.p["u"].dtype), []
+        h = np.zeros((n, w), out.dtype)
         for t in range(len(x)):
-            e = self.p["e"][x[t]]
-            gates = _sigmoid(e[:, : 2 * w] + h @ self.p["u"])
+            e = np.take(self.p["e"], x[t], axis=0)
+            gates = h @ self.p["u"]
+            gates += e[:, : 2 * w]
+            gates = _sigmoid(gates)
             z, r = gates[:, :w], gates[:, w:]
-            c = np.tanh(e[:, 2 * w :] + (r * h) @ self.p["c"])
-            m = live[t][:, None]
-            new = h + m * z * (c - h)
+            c = (r * h) @ self.p["c"]
+            c += e[:, 2 * w :]
+            np.tanh(c, out=c)
             if keep:
                 tape.append((h, z, r, c))
+            new = c - h
+            new *= z
+            if not live[t].all():
+                new *= live[t][:, None]
+            new += h
             h = out[t] = new
         return out, tape
 
     def backward(self, x: np.ndarray, live: np.ndarray, tape: list, d_out: np.ndarray) -> dict[str, np.ndarray]:
         w = self.h
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        dh = np.zeros(d_out.shape[1:], np.float32)
+        dh = np.zeros(d_out.shape[1:], d_out.dtype)
         for t in range(len(x) - 1, -1, -1):
             h, z, r, c = tape[t]
             m = live[t][:, None]
@@ -118,17 +134,17 @@ class Network:
         return [*self.fore.p.values(), *self.back.p.values(), *self.out.values()]
 
     def labels(self, x: np.ndarray, live: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        """Log probabilities of the languages at every position."""
+        """Log probabilities of the languages at every position of x (position x window)."""
         a, tape_a = self.fore.forward(x, live, keep)
         b, tape_b = self.back.forward(x[::-1], live[::-1], keep)
         states = np.concatenate([a, b[::-1]], 2)
-        score = states @ self.out["w"] + self.out["b"]
+        score = (states.reshape(-1, states.shape[2]) @ self.out["w"] + self.out["b"]).reshape(*x.shape, -1)
         score -= score.max(2, keepdims=True)
         return score - np.log(np.exp(score).sum(2, keepdims=True)), (states, tape_a, tape_b)
 
-    def step(self, x: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Loss and gradients by backpropagation through time; every position is to carry its window's language."""
-        live = (np.arange(len(x))[:, None] < length[None, :]).astype(np.float32)
+    def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Loss and gradients by backpropagation through time; every live position is to carry its window's language."""
+        live = (x != PAD).astype(self.out["w"].dtype)
         logp, (states, tape_a, tape_b) = self.labels(x, live, True)
         total = live.sum()
         d = np.exp(logp)
@@ -142,140 +158,107 @@ class Network:
         gb = self.back.backward(x[::-1], live[::-1], tape_b, ds[::-1, :, w:])
         return loss, [*ga.values(), *gb.values(), gw, d.sum((0, 1))]
 
-    def fit(self, words: list[str], y: np.ndarray, passes: int = 3, least_steps: int = 600, batch: int = 512, rate: float = 0.02, seed: int = 11) -> Network:
-        """Adam over batches of windows of like length; more passes where a few do not make least_steps."""
-        x, length, owner = coded(words)
-        y = y[owner]
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 11) -> Network:
+        """Adam over steps random batches of the windows x (window x position) with languages y."""
         random = np.random.default_rng(seed)
         params = self.parameters()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        passes = max(passes, -(-least_steps // max(1, -(-len(y) // batch))))
-        k, all_steps = 0, max(1, passes * -(-len(y) // batch))
-        for _ in range(passes):
-            order = np.lexsort((random.random(len(y)), length))
-            parts = np.array_split(order, -(-len(order) // batch))
-            for i in random.permutation(len(parts)):
-                rows = parts[i]
-                _, grads = self.step(x[: length[rows].max(), rows], length[rows], y[rows])
-                k += 1
-                now = rate * (1 - 0.9 * k / all_steps)
-                norm = max(1.0, float(np.sqrt(sum((g * g).sum() for g in grads))))
-                for p, g, m, v in zip(params, grads, first, second):
-                    g = g / norm
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= now * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        for k in range(1, steps + 1):
+            rows = random.integers(0, len(y), min(batch, max(1, len(y))))
+            _, grads = self.step(x[rows].T.astype(np.int64), y[rows])
+            now = rate * (1 - 0.95 * k / steps)
+            norm = max(1.0, float(np.sqrt(sum((g * g).sum() for g in grads))))
+            for p, g, m, v in zip(params, grads, first, second):
+                g = g / norm
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= now * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         return self
 
-    def pooled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the sum over its positions of their log probabilities, and the number of positions."""
-        sums, counts = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
-        for at in range(0, len(words), 50_000):
-            x, length, owner = coded(words[at : at + 50_000])
-            order = np.argsort(length, kind="stable")
-            for part in np.array_split(order, -(-len(order) // 1024)):
-                xs = x[: length[part].max(), part]
-                live = (np.arange(len(xs))[:, None] < length[part][None, :]).astype(np.float32)
-                logp, _ = self.labels(xs, live)
-                np.add.at(sums, at + owner[part], (logp * live[:, :, None]).sum(0, dtype=float))
-            np.add.at(counts, at + owner, length)
-        return sums, counts
-
-
-class Reader:
-    """Probabilities of whole texts, with the results of distinct windows kept."""
-
-    def __init__(self, network: Network, size: int = CACHE) -> None:
-        self.network, self.size = network, size
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.sums, self.counts = np.zeros((self.size, len(self.network.langs))), np.zeros(self.size)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > self.size:
-            self._clear()
-        n = len(self.place)
-        self.sums[n : n + len(words)], self.counts[n : n + len(words)] = self.network.pooled(words)
-        self.place.update((w, n + i) for i, w in enumerate(words))
+    def pooled(self, texts: list[str]) -> np.ndarray:
+        """For each text the mean over all its positions of their log probabilities."""
+        x, counts = windows(texts)
+        sums, live_at = np.empty((len(x), len(self.langs))), np.empty(len(x))
+        for at in range(0, len(x), BATCH):
+            part = np.ascontiguousarray(x[at : at + BATCH].T)
+            live = (part != PAD).astype(np.float32)
+            logp, _ = self.labels(part, live)
+            own = live[CONTEXT : CONTEXT + STRIDE]
+            sums[at : at + BATCH] = np.einsum("tnl,tn->nl", logp[CONTEXT : CONTEXT + STRIDE], own)
+            live_at[at : at + BATCH] = own.sum(0)
+        begin = np.cumsum(counts) - counts
+        return np.add.reduceat(sums, begin) / np.add.reduceat(live_at, begin)[:, None] if len(counts) else np.empty((0, len(self.langs)))
 
     def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and probability of each text."""
-        out, half = [], self.size // 2
-        found = [windows(t) if t else [] for t in texts]
-        new = dict.fromkeys(w for words in found for w in words)
-        if len(new) <= half and (todo := [w for w in new if w not in self.place]):
-            if len(self.place) + len(todo) > self.size:
-                self._clear()
-                todo = list(new)
-            self._learn(todo)
-        for words in found:
-            total, n = np.zeros(len(self.network.langs)), 0.0
-            for at in range(0, len(words), half):
-                part = words[at : at + half]
-                if len(new) > half and (todo := [w for w in dict.fromkeys(part) if w not in self.place]):
-                    if len(self.place) + len(todo) > self.size:
-                        self._clear()
-                        todo = list(dict.fromkeys(part))
-                    self._learn(todo)
-                rows = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
-                total, n = total + self.sums[rows].sum(0), n + self.counts[rows].sum()
-            if n:
-                p = np.exp(total / n - (total / n).max())
-                out.append((self.network.langs[int(p.argmax())], float(p.max() / p.sum())))
-            else:
-                out.append(("und", 0.0))
+        """Language and probability of each text; und without a letter."""
+        out = [("und", 0.0)] * len(texts)
+        rows = [i for i, t in enumerate(texts) if has_letter(t)]
+        at = 0
+        while at < len(rows):  # as many texts at a time as make a few batches, or one long one
+            end, size = at, 0
+            while end < len(rows) and (end == at or size + len(texts[rows[end]]) <= 2 * BATCH * STRIDE):
+                size += len(texts[rows[end]])
+                end += 1
+            for i, mean in zip(rows[at:end], self.pooled([texts[i] for i in rows[at:end]])):
+                p = np.exp(mean - mean.max())
+                out[i] = (self.langs[int(p.argmax())], round(float(p.max() / p.sum()), 6))
+            at = end
         return out
 
 
-def _sample_windows(frame: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-    word, lang = [], []
-    for text, l, doc_id in zip(*(c.to_pylist() for c in frame.columns)):
-        found = windows(text)
-        random = np.random.default_rng(doc_id & 0xFFFFFFFF)
-        for i in random.choice(len(found), min(len(found), WINDOWS), replace=False) if found else []:
-            word.append(found[i][: 4 * WINDOW])
-            lang.append(l)
-    yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(lang, pa.string())], names=["word", "lang"])
+def _sample_windows(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (text, lang, seed): rows (window, lang), at most WINDOWS windows anywhere in each text."""
+    for frame in frames:
+        window, lang = [], []
+        for text, of, seed in zip(*(c.to_pylist() for c in frame.columns)):
+            if has_letter(text):
+                found, _ = windows([text])
+                random = np.random.default_rng(seed & 0xFFFFFFFF)
+                for i in sorted(random.choice(len(found), min(len(found), WINDOWS), replace=False)):
+                    window.append(found[i].tobytes())
+                    lang.append(of)
+        yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), pa.array(lang, pa.string())], names=["window", "lang"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from the text and lang of documents whose crc32(doc_id) mod 4 is not 2; None if no row has both.
 
     Learns from about sample documents of each language, chosen by a hash of doc_id, and WINDOWS random windows of
-    each; those are all that reaches the driver. Rows with a null text, lang or doc_id teach nothing.
+    each; those are all that reaches the driver. Rows with a null text, lang or doc_id, or no letter, teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (id_crc() % 4 != 2))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     sizes = sizes.select(F.col("lang").alias("__lang"), (F.least(F.lit(1.0), sample / F.col("n")) * (1 << 30)).alias("__most"))
-    ids = known.select(F.col("doc_id").alias("__id"), "lang").join(sizes, F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64(F.lit("language"), "__id"), F.lit(1 << 30)) < F.col("__most"))
+    ids = known.select(F.col("doc_id").alias("__id"), "lang").join(F.broadcast(sizes), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64(F.lit("language"), "__id"), F.lit(1 << 30)) < F.col("__most"))
     ids = cut(ids.select("__id").distinct(), "sample")
     chosen = known.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").select("text", "lang", F.xxhash64("doc_id").alias("seed"))
-    rows = [(r["word"], r["lang"]) for r in chosen.mapInArrow(batches(_sample_windows), "word string, lang string").collect()]
+    rows = [(r["window"], r["lang"]) for r in chosen.mapInArrow(_sample_windows, "window binary, lang string").collect()]
     if not rows:
         return None
     rows.sort()
     langs = sorted({lang for _, lang in rows})
     of = {lang: i for i, lang in enumerate(langs)}
-    return Network(langs).fit([w for w, _ in rows], np.array([of[lang] for _, lang in rows]))
+    x = np.frombuffer(b"".join(w for w, _ in rows), np.int16).reshape(len(rows), -1)
+    return Network(langs).fit(x, np.array([of[lang] for _, lang in rows]))
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs, from its whole text alone.
 
-    lang_pred is a language that the network has learned, or und with score 0 for a null text, one without letters,
-    or without a network. Repeated rows give repeated rows, an empty table none; other columns are ignored.
+    lang_pred is a language that the network has learned, or und with score 0 for a null text, one without letters
+    (characters of the categories L*), or without a network. Repeated rows give repeated rows, an empty table none;
+    other columns are ignored. A text is read in windows, whatever its length; a very long one takes memory in
+    proportion to it, a few times its own size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        reader = Reader(shared.value) if shared.value else None
+        net = shared.value
         for frame in frames:
             for at in range(0, frame.num_rows, 500):
                 part = frame.slice(at, 500)
                 texts = part.column(1).to_pylist()
-                found = reader.read(texts) if reader else [("und", 0.0)] * len(texts)
+                found = net.read(texts) if net else [("und", 0.0)] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found]), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     docs = docs.select("doc_id", "text")
