@@ -6,15 +6,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import batches, components, cut, table
 
-#: Vectors of a tile, components of its first and second pass, and components of its box.
-TILE, LEAD, MORE, BOX = 2048, 16, 32, 8
+#: Vectors of a tile, and bytes of vectors of a group of tiles: two groups meet in a task, one of them held as a whole.
+TILE, GROUP_BYTES = 2048, 16 << 20
 
-#: Slack of the bounds in double precision, and distance from the threshold within which a cosine is taken again in the original coordinates.
-SLACK, CLOSE = 1e-9, 1e-9
+#: Components of the first and second pass, and of a tile's box.
+LEAD, MORE, BOX = 24, 48, 8
+
+#: Slack of the bounds, which are summed in single precision: 48 terms of at most 1 are off by less than 1e-5.
+SLACK = 1e-5
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -34,51 +38,73 @@ def _links(v: Column) -> Column:
     return F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _basis(classes: DataFrame, width: int) -> np.ndarray:
-    """Principal axes of the unit vectors, by falling variance, from sums of outer products over all of them."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; first by their largest component, so that no square overflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _basis(members: DataFrame, width: int) -> np.ndarray:
+    """Principal axes of the unit vectors v, by falling variance, from sums of outer products over all of them."""
 
     def sums(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+        total, any_row = np.zeros((width, width)), False
         for frame in frames:
-            x = _matrix(frame.column(0), width)
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
-
-    rows = classes.select("v").mapInArrow(sums, "i int, row array<double>")
-    cells = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+            for at in range(0, frame.num_rows, TILE):
+                unit = _unit(_matrix(frame.column(0).slice(at, TILE), width))
+                total += unit.T @ unit
+                any_row = True
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+
+    rows = members.select("v").mapInArrow(sums, "i int, row array<double>")
+    cells = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    rows = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("row")).select("i", F.col("row.x"))
     total = np.zeros((width, width))
-    for r in cells:  # width x width numbers, whatever the number of vectors
-        total[r["i"], r["j"]] = r["x"]
+    for i, row in rows.collect():  # width rows of width numbers, whatever the number of vectors
+        total[i] = row
     return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1]
 
 
-def _pair_links(a: dict, b: dict | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+class Tile:
+    """Classes of a tile: identities, copies, vectors as they came, leading components and what is left of the norm."""
+
+    def __init__(self, ids: bytes, copies: bytes, x: bytes, kind: str, width: int, basis: np.ndarray) -> None:
+        self.ids, self.copies = np.frombuffer(ids, "V16"), np.frombuffer(copies, np.int64)
+        self.x = np.frombuffer(x, kind).reshape(-1, width)
+        z = _unit(self.x) @ basis
+        self.low, self.high = z[:, :BOX].min(0), z[:, :BOX].max(0)
+        rest = [np.sqrt(np.maximum(0, (z[:, k:] ** 2).sum(1, keepdims=True))) for k in (LEAD, MORE)]
+        self.lead = np.hstack([z[:, :LEAD], rest[0]]).astype(np.float32)
+        self.more = np.hstack([z[:, LEAD:MORE], rest[1]]).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _pair_links(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the linked pairs of two tiles, or of one with itself (each pair once)."""
-    same, b = b is None, b or a
-    x, y = a["z"], b["z"]
-    found = []
-    for at in range(0, len(x), 512):
-        part = slice(at, at + 512)
-        # the extra column adds the product of what is left of both norms, the most that the rest can give
-        bound = np.hstack([x[part, :LEAD], a["rest"][part, :1]]) @ np.hstack([y[:, :LEAD], b["rest"][:, :1]]).T
-        i, j = np.divmod(np.flatnonzero(bound >= threshold - SLACK), len(y))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    if (np.maximum(0, np.maximum(a.low - b.high, b.low - a.high)) ** 2).sum() > 2 - 2 * threshold + 1e-9:
+        return found[0]  # unit vectors with cosine c are sqrt(2 - 2c) apart
+    for at in range(0, len(a), 512):
+        # the last column adds the product of what is left of both norms, the most that the other components can give
+        bound = a.lead[at : at + 512] @ b.lead.T
+        i, j = np.divmod(np.flatnonzero(bound.ravel() >= threshold - SLACK), len(b))
         i += at
-        if same:
-            i, j = i[i < j], j[i < j]
-        for k in range(0, len(i), 1 << 16):  # leftover pairs, with more components at a time
+        if a is b:
+            on = i < j
+            i, j = i[on], j[on]
+        for k in range(0, len(i), 1 << 16):  # pairs that are left, with more components, then in full
             p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            part_sum = np.einsum("ij,ij->i", x[p, :MORE], y[q, :MORE])
-            on = part_sum + a["rest"][p, 1] * b["rest"][q, 1] >= threshold - SLACK
-            p, q, part_sum = p[on], q[on], part_sum[on]
-            cosine = part_sum + np.einsum("ij,ij->i", x[p, MORE:], y[q, MORE:])
-            linked = cosine >= threshold
-            if (near := np.flatnonzero(np.abs(cosine - threshold) <= CLOSE)).size:
-                linked[near] = np.einsum("ij,ij->i", a["unit"][p[near]], b["unit"][q[near]]) >= threshold
-            found.append((p[linked], q[linked]))
-    if not found:
-        return (np.empty(0, np.int64),) * 2
+            so_far = np.einsum("ij,ij->i", a.lead[p, :LEAD], b.lead[q, :LEAD]) + np.einsum("ij,ij->i", a.more[p], b.more[q])
+            on = so_far >= threshold - SLACK
+            p, q = p[on], q[on]
+            for n in range(0, len(p), 4096):
+                u, v = p[n : n + 4096], q[n : n + 4096]
+                linked = np.einsum("ij,ij->i", _unit(a.x[u]), _unit(b.x[v])) >= threshold
+                found.append((u[linked], v[linked]))
     return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
@@ -100,11 +126,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
     Vectors link when their cosine, in double precision, is at least the threshold (which must be above 0). Equal
-    vectors are one class with a count, so that copies cost nothing. Classes are turned to principal components,
-    ordered by cells of the leading ones and cut into tiles of TILE. Two tiles are compared if the boxes around
-    their leading components are near enough; unit vectors with cosine c are sqrt(2 - 2c) apart. A comparison sums
-    LEAD components, drops pairs whose remaining norms cannot make up the rest, goes on with MORE, then all. It gives
-    a count for each vector and a spanning forest of the links, never the pairs.
+    vectors, told by a 192-bit hash, are one class with a count, so that copies cost nothing. Classes are turned to
+    principal components, ordered by cells of the leading ones and cut into tiles of TILE; consecutive tiles of
+    GROUP_BYTES are a group. Two groups meet in one task, one held, the other read tile by tile. Tiles whose boxes
+    around their leading components are too far apart are passed over; of others LEAD components are summed, and pairs
+    dropped whose remaining norms cannot make up the rest; what is left goes on with MORE, then with the vectors as
+    they came. A comparison gives a count for each vector and a spanning forest of the links, never the pairs.
 
     Null and zero vectors and those with null or non-finite components link with nothing, not even with each other;
     a shorter vector counts as filled with zeros. n_links counts the other rows linked directly. Rows that
@@ -114,118 +141,147 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<double>")
-    rows = cut(vectors.select("vec_id", v.alias("v"), _links(v).alias("ok")), "vectors")
+    kind = "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "double"
+    number = "f4" if kind == "float" else "f8"
+    v = F.col("embedding").cast(f"array<{kind}>")
+    rows = vectors.select("vec_id", v.alias("v"), _links(v).alias("ok"))
     alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
     width = rows.where("ok").agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return rows.select("vec_id", *alone)
     # zeros at the end do not change a vector, and -0.0 equals 0.0
-    filled = F.transform(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))), lambda x: x + F.lit(0.0))
+    zero = F.lit(0).cast(kind)
+    filled = F.transform(F.concat("v", F.array_repeat(zero, F.lit(width) - F.size("v"))), lambda x: x + zero)
     members = rows.where("ok").select("vec_id", filled.alias("v"))
-    # classes and tiles have numbers of their own, as a vec_id may stand for several vectors
-    classes = members.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-    classes = cut(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    basis = spark.sparkContext.broadcast(_basis(classes, width))
-    n_classes = classes.count()
+    hashes = [F.lpad(F.hex(F.xxhash64(F.lit(k), "v")), 16, "0") for k in range(3)]
+    members = members.withColumn("h", F.unhex(F.substring(F.sha2(F.concat(*hashes).cast("binary"), 256), 1, 32)))
+    basis = spark.sparkContext.broadcast(_basis(members, width))
+    classes = members.groupBy("h").agg(F.count("*").alias("copies"), F.first("v").alias("v"))
     far = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
-    def turned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        unit = x / np.abs(x).max(1, keepdims=True)
-        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-        return unit, unit @ basis.value
-
     def place(frame: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        _, z = turned(_matrix(frame.column(0), width))
+        z = _unit(_matrix(frame.column(2), width)) @ basis.value
         lead = np.clip(np.floor(z[:, :4] / far) + 8, 0, 15).astype(np.int64)
         lead = np.hstack([lead, np.zeros((len(lead), 4 - lead.shape[1]), np.int64)])
         key = ((lead[:, 0] * 16 + lead[:, 1]) * 16 + lead[:, 2]) * 16 + lead[:, 3]
         key = key.astype(np.float64) + (z[:, 0] - np.floor(z[:, 0] / far) * far) / (far * 1.0001)
-        yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(key)], names=["v", "class_id", "copies", "key"])
+        yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(key)], names=["h", "copies", "v", "key"])
 
-    n_tiles = max(1, -(-n_classes // TILE))
-    keyed = classes.select("v", "class_id", "copies").mapInArrow(batches(place), "v array<double>, class_id long, copies long, key double")
-    ranged = keyed.repartitionByRange(n_tiles, "key", "class_id").sortWithinPartitions("key", "class_id")
+    keyed = classes.mapInArrow(batches(place), f"h binary, copies long, v array<{kind}>, key double")
+    ranged = keyed.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
 
     def tiles(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        part, seq = TaskContext.get().partitionId(), 0
 
         def give(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal seq
             rows = rows.combine_chunks().to_batches()[0]
-            _, z = turned(_matrix(rows.column(2), width))
-            box = z[:, :BOX]
-            values = [
-                [int(rows.column(0)[0].as_py())], [rows.num_rows], [box.min(0).tolist()], [box.max(0).tolist()],
-                [rows.column(0).to_numpy().astype(np.int64).tobytes()], [rows.column(1).to_numpy().astype(np.int64).tobytes()],
-                [_matrix(rows.column(2), width).tobytes()],
-            ]
+            x = _matrix(rows.column(2), width).astype(number)
+            values = [[part], [seq], [rows.num_rows], [b"".join(rows.column(0).to_pylist())], [rows.column(1).to_numpy().astype(np.int64).tobytes()], [x.tobytes()]]
+            seq += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(values, [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()])],
-                names=["tile", "n", "low", "high", "ids", "copies", "x"],
+                [pa.array(x, t) for x, t in zip(values, [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
+                names=["part", "seq", "n", "ids", "copies", "x"],
             )
 
         for frame in frames:
-            held.append(frame)
-            while sum(f.num_rows for f in held) >= 2 * TILE:
-                rows = pa.Table.from_batches(held)
-                yield from give(rows.slice(0, TILE))
-                held = rows.slice(TILE).to_batches()
+            for at in range(0, frame.num_rows, TILE):
+                held.append(frame.slice(at, TILE))
+                if sum(f.num_rows for f in held) >= 2 * TILE:
+                    rows = pa.Table.from_batches(held)
+                    yield from give(rows.slice(0, TILE))
+                    held = rows.slice(TILE).to_batches()
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             for at in range(0, rows.num_rows, TILE):
                 yield from give(rows.slice(at, TILE))
 
-    made = cut(ranged.select("class_id", "copies", "v").mapInArrow(tiles, "tile long, n int, low array<double>, high array<double>, ids binary, copies binary, x binary"), "tiles")
-    # tiles whose ranges of the first component come near share a cell of it; the whole boxes then decide
-    spot = made.select("tile", "low", "high", F.floor(F.get("low", F.lit(0)) / far).alias("l"), F.floor(F.get("high", F.lit(0)) / far).alias("h"))
-    left = spot.select(F.col("tile").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence("l", "h")).alias("cell"))
-    right = spot.select(F.col("tile").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence(F.col("l") - 1, F.col("h") + 1)).alias("cell"))
-    apart = F.aggregate(
-        F.sequence(F.lit(0), F.lit(min(BOX, width) - 1)), F.lit(0.0),
-        lambda s, k: s + F.pow(F.greatest(F.lit(0.0), F.get("la", k) - F.get("hb", k), F.get("lb", k) - F.get("ha", k)), 2.0),
-    )
-    pairs = left.join(right, "cell").where("a <= b").where(apart <= far * far).select("a", "b").distinct()
-    one = made.select(F.col("tile").alias("a"), F.col("ids").alias("ids_a"), F.col("copies").alias("copies_a"), F.col("x").alias("x_a"))
-    two = made.select(F.col("tile").alias("b"), F.col("ids").alias("ids_b"), F.col("copies").alias("copies_b"), F.col("x").alias("x_b"))
-    work = pairs.repartition(max(1, min(4 * n_tiles, 1 << 16)), "a", "b").join(one, "a").join(two, "b")
+    made = cut(ranged.mapInArrow(tiles, "part int, seq int, n int, ids binary, copies binary, x binary"), "tiles")
+    # consecutive tiles become groups: a running sum over the partitions' sizes, a row for each partition of the table
+    sizes = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    most = max(TILE, GROUP_BYTES // (width * np.dtype(number).itemsize))
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    n_groups = max(1, -(-total // most))
+    per_group = -(-total // n_groups)
+    starts = spark.createDataFrame(starts, "__part int, start long")
+    before = F.col("start") + F.col("seq").cast("long") * TILE
+    grouped = made.join(F.broadcast(starts), F.col("part") == F.col("__part")).withColumn("g", F.least(F.floor(before / per_group), F.lit(n_groups - 1)).cast("int"))
+    # each group goes to the tasks of its pairs: (i, j) with i <= j, its own rows held (side 0) where it is i
+    pair = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("other")
+    sent = grouped.select("*", pair)
+    sent = sent.withColumns({"i": F.least("g", "other"), "j": F.greatest("g", "other"), "side": (F.col("g") > F.col("other")).cast("int")})
+    tasks = n_groups * (n_groups + 1) // 2
+    slot = F.col("i").cast("long") * n_groups - F.expr("cast(i as bigint) * (i - 1) div 2") + F.col("j") - F.col("i")
+    n_parts = int(min(tasks, 1 << 16))
+    sent = sent.withColumn("slot", (F.pmod(slot, F.lit(n_parts))).cast("int"))
+    dealt = sent.select("i", "j", "side", "ids", "copies", "x", "slot").repartitionById(n_parts, "slot").drop("slot").sortWithinPartitions("i", "j", "side")
 
     def compare(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(ids: bytes, copies: bytes, x: bytes) -> dict:
-            unit, z = turned(np.frombuffer(x).reshape(-1, width))
-            rest = np.stack([np.sqrt(np.maximum(0, (z[:, k:] ** 2).sum(1))) for k in (LEAD, MORE)], 1)
-            return {"ids": np.frombuffer(ids, np.int64), "copies": np.frombuffer(copies, np.int64), "unit": unit, "z": z, "rest": rest}
+        at, held, waiting = None, [], []
+        axes = basis.value
+
+        def meet(a: Tile, b: Tile) -> Iterator[pa.RecordBatch]:
+            i, j = _pair_links(a, b, threshold)
+            if not len(i):
+                return
+            ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
+            copies = a.copies if a is b else np.concatenate([a.copies, b.copies])
+            if a is not b:
+                j = j + len(a)
+            links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+            low = _forest(i, j, len(ids))
+            hit = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k].tobytes() for k in hit], pa.binary()), pa.array([ids[low[k]].tobytes() for k in hit], pa.binary()), pa.array(links[hit].astype(np.int64))], names=["h", "root", "links"])
+
+        def merged(some: list[tuple]) -> Tile:
+            return Tile(*(b"".join(parts) for parts in zip(*some)), number, width, axes)
+
+        def rows_of(some: list[tuple]) -> int:
+            return sum(len(ids) for ids, _, _ in some) // 16
+
+        def flush(side: int, i: int, j: int) -> Iterator[pa.RecordBatch]:
+            """The waiting tiles as one: held if of side 0, else compared with all that are held."""
+            nonlocal waiting
+            if waiting:
+                tile = merged(waiting)
+                waiting = []
+                if side == 0 and i == j:
+                    for other in held:
+                        yield from meet(other, tile)
+                    yield from meet(tile, tile)
+                if side == 0:
+                    held.append(tile)
+                else:
+                    for other in held:
+                        yield from meet(other, tile)
 
         for frame in frames:
             for r in range(frame.num_rows):
-                b_id, a_id, *data = (frame.column(k)[r].as_py() for k in range(8))
-                a = tile(*data[:3])
-                b = None if a_id == b_id else tile(*data[3:])
-                i, j = _pair_links(a, b, threshold)
-                if not len(i):
-                    continue
-                ids = a["ids"] if b is None else np.concatenate([a["ids"], b["ids"]])
-                copies = a["copies"] if b is None else np.concatenate([a["copies"], b["copies"]])
-                if b is not None:
-                    j = j + len(a["ids"])
-                n = len(ids)
-                links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-                by_id = np.argsort(ids, kind="stable")  # the smallest place is then the smallest id
-                at = np.empty(n, np.int64)
-                at[by_id] = np.arange(n)
-                root = np.empty(n, np.int64)
-                root[by_id] = ids[by_id][_forest(at[i], at[j], n)]
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(root[hit]), pa.array(links[hit].astype(np.int64))], names=["class_id", "root", "links"])
-
-    work = work.select("b", "a", "ids_a", "copies_a", "x_a", "ids_b", "copies_b", "x_b")
-    found = cut(work.mapInArrow(compare, "class_id long, root long, links long"), "links")
-    sums = found.groupBy("class_id").agg(F.sum("links").alias("links")).withColumnRenamed("class_id", "n1")
-    parts = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    named = parts.join(classes.select(F.col("class_id").alias("n3"), "first_id"), F.col("node") == F.col("n3"))
-    heads = named.groupBy("component").agg(F.min("first_id").alias("head"))
-    parts = parts.join(heads, "component").select(F.col("node").alias("n2"), "head")
-    of_class = classes.join(sums, F.col("class_id") == F.col("n1"), "left").join(parts, F.col("class_id") == F.col("n2"), "left")
-    of_class = of_class.select(F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("head", "first_id").alias("component_id"))
-    linked = members.join(of_class, F.col("v") == F.col("w")).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+                i, j, side, *data = (c[r].as_py() for c in frame.columns)
+                if (i, j, side) != at:
+                    if at:
+                        yield from flush(at[2], *at[:2])
+                        if (i, j) != at[:2]:
+                            held.clear()
+                    at = (i, j, side)
+                waiting.append(tuple(data))
+                if rows_of(waiting) >= TILE:
+                    yield from flush(side, i, j)
+        if at:
+            yield from flush(at[2], *at[:2])
+
+    found = cut(dealt.mapInArrow(compare, "h binary, root binary, links long"), "links")
+    parts = components(found.select(F.col("h").alias("a"), F.col("root").alias("b")))
+    sums = found.groupBy("h").agg(F.sum("links").alias("links")).select(F.col("h").alias("h2"), "links")
+    sized = members.groupBy("h").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    named = sized.join(parts, F.col("h") == F.col("node"), "left").join(sums, F.col("h") == F.col("h2"), "left")
+    named = cut(named.select("h", "first_id", F.coalesce("component", "h").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    heads = cut(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "heads")  # a plain table, so that a hot component can be split
+    of_class = named.join(heads, "component").select(F.col("h").alias("h1"), "n_links", "component_id")
+    linked = members.select("vec_id", "h").join(of_class, F.col("h") == F.col("h1")).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(rows.where("NOT ok").select("vec_id", *alone))
 
 
