@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import jaccard, pieces, pii, queries, substrings, vectors
 from .conftest import TEXTS, documents, prose
@@ -81,6 +82,32 @@ def test_mixing_rates(spark, edge):
         mixing.source_rates(docs, {"s0": -1.0})
 
 
+def test_mixing_edge(spark, edge):
+    """Null ids, texts and sources, repeated rows and clashing names, against inversion of the distribution by hand."""
+    from math import exp, factorial
+
+    from weftline.llm import mixing
+
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    size = Counter()
+    for r in rows:
+        size[r["source"]] += len(r["text"] or "")
+    want = Counter()
+    for r in rows:
+        rate = sum(size.values()) / len(size) / size[r["source"]] if size[r["source"]] else 1.0
+        parts = max(1, int(np.ceil(rate / mixing.PART)))
+        for j in range(1, parts + 1):
+            u = int(hashlib.md5(f"{mixing.SEED}:{'null' if r['doc_id'] is None else r['doc_id']}:{j}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            k = total = 0
+            while (total := total + exp(-rate / parts) * (rate / parts) ** k / factorial(k)) <= u:
+                k += 1
+            want[(r["doc_id"], r["text"], r["source"])] += k
+    got = mixing.mix_sources(docs)
+    assert got.schema == docs.schema
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == +want
+
+
 def test_mixing_many_sources(spark, monkeypatch):
     from weftline.llm import mixing
 
@@ -107,6 +134,9 @@ def test_written_shards(spark, tmp_path):
     docs = documents(spark, [(i, prose(i, 50)) for i in range(100)])
     sharding.write_shards(docs, f"{tmp_path}/out", 4000)
     assert rows_of(spark.read.parquet(f"{tmp_path}/out").select("doc_id", "text")) == rows_of(docs.select("doc_id", "text"))
+    own = docs.withColumn("shard", F.col("doc_id") * 2)  # a column of the user's by that name stays
+    sharding.write_shards(own, f"{tmp_path}/own", 4000)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/own").select("doc_id", "shard")) == rows_of(own.select("doc_id", "shard"))
 
 
 def near_brute(texts):
@@ -159,6 +189,53 @@ def test_jaccard_skewed(spark):
     assert got == {d: (10_000, 399) if d >= 10_000 else (d - d % 2, 1) for d, _ in texts}
 
 
+def pairs_at(similar, first):
+    """A pair of texts for each share of equal shingles, numbered from first."""
+    texts = []
+    for k, share in enumerate(similar):
+        words = prose(7000 + first + k, 104).split()  # 100 shingles; a changed word at the end takes one, c at the end take c
+        c = round(100 * (1 - share) / (1 + share))
+        texts += [(first + 2 * k, " ".join(words)), (first + 2 * k + 1, " ".join([*words[: 104 - c], *(f"x{k}y{j}" for j in range(c))]))]
+    return texts
+
+
+def lengths_run(monkeypatch):
+    run, plain = [], jaccard._matched
+    monkeypatch.setattr(jaccard, "_matched", lambda *a: (run.append(a[4]), plain(*a))[1])
+    return run
+
+
+@pytest.mark.parametrize("similar,stops_at", [([0.95] * 30, 7), ([0.95] * 30 + [0.81] * 6, 6), ([0.95] * 10 + [0.81] * 40, 5), ([0.81] * 90, 4)])
+def test_jaccard_stops(spark, monkeypatch, similar, stops_at):
+    """Pairs near the threshold make it go on, close ones do not; what it gives is whole wherever it stops."""
+    run, texts = lengths_run(monkeypatch), pairs_at(similar, 0)
+    assert rows_of(jaccard.near_copies(documents(spark, texts))) == near_brute(texts)
+    assert run == list(range(7, stops_at - 1, -1))
+
+
+def test_jaccard_stop_rule():
+    none = np.zeros(len(jaccard.band_edges(0.8)), int)
+    assert jaccard.last_length(0.8) == 4 and jaccard.is_settled(none, 7, 0.8)
+    hot, few = none.copy(), none.copy()
+    hot[-2], few[-2], few[0] = 4_500_000, 4_500_000, 40
+    assert jaccard.is_settled(hot, 7, 0.8)  # a large group of close copies alone
+    assert not jaccard.is_settled(few, 7, 0.8) and not jaccard.is_settled(few, 6, 0.8)  # does not hide pairs elsewhere
+    assert not jaccard.is_settled(few * 1000, 5, 0.8) and jaccard.is_settled(few * 1000, 4, 0.8)
+
+
+def test_jaccard_recall_by_length(spark):
+    """Of pairs at the threshold, each length finds at least the share that its probability says."""
+    texts = pairs_at([0.81] * 150 + [0.9] * 150, 0)
+    want = sum(r[2] for r in near_brute(texts))
+    before = 0.0
+    for length in (7, 6, 5, 4):
+        got = sum(r["n_links"] for r in jaccard._near_classes(documents(spark, texts), 0.8, 1.0, length).collect()) / want
+        print(f"length {length}: recall {got:.4f}, at least {jaccard.found_with(0.8, length):.4f} expected")
+        assert got >= jaccard.found_with(0.8, length) - 0.02 and got >= before
+        before = got
+    assert before == 1
+
+
 def test_jaccard_short_texts(spark):
     texts = [(i, prose(i % 7, 3 + i % 4)) for i in range(60)] + [(100, "a b"), (101, "a b"), (102, "b a")]
     assert rows_of(jaccard.near_copies(documents(spark, texts))) == near_brute(texts)
@@ -173,6 +250,27 @@ def test_jaccard_repeated_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted((t for k, t in enumerate(texts) if k != 1), key=repr)
 
 
+def test_jaccard_repeated_rows(spark):
+    """Null ids all stay; of rows that share the smallest id of a group one stays, the same one each time."""
+    rows = [(None, "x y", 1), (None, "x y", 2), (1, "a b", 5), (1, "a  b", 4), (1, "a b", 4), (1, "a b", 4), (2, "a b", 1), (1, "c d", 1), (3, "c d", 1), (1, "", 1), (1, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    left = [rows_of(jaccard.drop_near_copies(docs.repartition(n))) for n in (1, 3, 5)]
+    assert left[0] == left[1] == left[2]
+    assert Counter((r[0], (r[1] or "").split().__repr__()) for r in left[0]) == {(None, "['x', 'y']"): 2, (1, "['a', 'b']"): 1, (1, "['c', 'd']"): 1, (1, "[]"): 2}
+
+
+def test_exact_copies_repeated_ids(spark):
+    """The longest original stays, then the smallest id; rows of one id with equal texts are told apart by their columns."""
+    from weftline.llm import exact_dedup
+
+    rows = [(1, "ab", 1), (1, "a b", 2), (2, "x", 1), (None, "x", 2), (3, "x ", 1), (3, "x ", 1), (4, "q", 1), (4, "r", 1), (5, "tt", 2), (5, "tt", 1), (6, "t t", 1), (6, "t t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    left = [rows_of(exact_dedup.drop_exact_copies(docs.repartition(n))) for n in (1, 3, 5)]
+    assert left[0] == left[1] == left[2]
+    assert [r for r in left[0] if r[0] != 6] == sorted([(1, "a b", 2), (3, "x ", 1), (4, "q", 1), (4, "r", 1)], key=repr)
+    assert len([r for r in left[0] if r[0] == 6]) == 1
+
+
 def passages_brute(texts):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in texts]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
@@ -257,19 +355,27 @@ def test_pieces_against_library(spark, edge):
         assert rows_of(queries.QUERIES["op4_sentencepiece"](spark, folder)) == sorted(want, key=repr)
 
 
-def test_pieces_small_table():
+def test_pieces_small_table(monkeypatch):
     import random
 
     import sentencepiece
 
     model = open(pieces.model_path(), "rb").read()
-    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Segmenter(model, size=50)
+    library, own, whole = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Segmenter(model, size=5000), pieces.Segmenter(model)
+    assert own.by_chunk
+    whole.by_chunk = False  # as for a model whose pieces cross markers
     r = random.Random(4)
     parts = [" ", "  ", "\n", "▁", "\t", "\r", "a", "the", "é", "😀", "\x00", "​", "日本", "<s>", "</s>", "<0x0A>", "\r\n", "﻿", " ", "."]
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
         ids, back = own(text)
         assert np.frombuffer(ids, np.int32).tolist() == library.encode(text) and back == library.decode(library.encode(text))
+        assert own(text) == whole(text)
+    own.forget()
+    monkeypatch.setattr(pieces, "PART", 3)  # long texts in parts, odd chunks in a later one
+    for text in ["a b c d e \ufeff f g", "y" * 400 + " a b c \ufeff" + "z" * 300 + " d", "a " * 20 + "\ufeff"]:
+        assert own(text) == whole(text)
+    assert sum(len(k) + len(v) + pieces.ENTRY_BYTES for k, v in own.new.items()) <= own.held
 
 
 BASE = (
@@ -297,6 +403,8 @@ def test_pii_base(spark):
     for text in texts:
         assert sorted(pii.base_spans(text)) == base_brute(text)
     assert pii.base_spans("1" * 200_000 + "." + "a" * 200_000 + "@") == []  # linear time
+    assert pii.base_spans("1.2.3." + "0" * 5000) == [(1, 0, 5006)]  # more digits than int() reads
+    assert pii.base_spans("1.2.3." + "0" * 5000 + "256") == [] and pii.base_spans("9" * 6000 + ".1.1.1") == []
 
 
 @pytest.mark.parametrize("text,kind,found", [
@@ -373,6 +481,58 @@ def test_isotonic():
     assert np.isclose(np.interp(3.0, at, value), 0.5)
 
 
+def test_trees_against_brute_force():
+    """Splits and leaves as an exhaustive search of thresholds finds them."""
+    from weftline.llm.toxicity import Trees
+
+    r = np.random.default_rng(1)
+    x, y = np.round(r.normal(size=(80, 3)), 1), (r.random(80) < 0.4).astype(float)
+    y[x[:, 1] > 0.5] = 1
+    trees = Trees(rounds=4, depth=2, rate=0.3, bins=400, ridge=1.0, least=0.5).fit(x, y)
+    score = np.full(80, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(4):
+        q = 1 / (1 + np.exp(-score))
+        g, h = y - q, q * (1 - q)
+
+        def value(rows):
+            return g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+
+        def grow(rows, depth):
+            best, parts = 1e-9, None
+            if depth:
+                for j in range(3):
+                    for c in trees.cuts[j]:
+                        low, high = rows & (x[:, j] <= c), rows & (x[:, j] > c)
+                        if h[low].sum() >= 0.5 and h[high].sum() >= 0.5 and value(low) + value(high) - value(rows) > best + 1e-12:
+                            best, parts = value(low) + value(high) - value(rows), (low, high)
+            if parts is None:
+                return [rows]
+            return grow(parts[0], depth - 1) + grow(parts[1], depth - 1)
+
+        for leaf in grow(np.ones(80, bool), 2):
+            score[leaf] += 0.3 * g[leaf].sum() / (h[leaf].sum() + 1.0)
+    assert np.allclose(trees.raw(x), score)
+
+
+def test_toxicity_cross_fitting(spark, edge):
+    """A fold's lexicon has no words that only its own documents make common."""
+    from weftline.llm import toxicity
+
+    rows = [(f"own{k} own{k} plain", k, 1) for k in range(toxicity.FOLDS) for _ in range(30)] + [("plain words", k, 0) for k in range(toxicity.FOLDS) for _ in range(30)]
+    chosen = spark.createDataFrame(rows, "text string, fold int, y int")
+    found = toxicity._lexicons(chosen, {(k, y): 30 for k in range(toxicity.FOLDS) for y in (0, 1)})
+    for k in range(toxicity.FOLDS):
+        assert set(found[k][0]) == {f"own{j}" for j in range(toxicity.FOLDS) if j != k}
+    assert set(found[-1][0]) == {f"own{j}" for j in range(toxicity.FOLDS)}
+
+
+def test_toxicity_cache():
+    from weftline.llm import toxicity
+
+    words = toxicity.Words({"fool": 1})
+    assert toxicity.features("You fool " + "x" * 5000, words, np.array([0.0, 4.0]))[2] == 1 and all(len(w) < toxicity.LONG for w in words)
+
+
 def test_language_held_out(spark, edge):
     got = queries.QUERIES["op7_language"](spark, SMALL).collect()
     langs = {r[0]: r[1] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").collect()}
@@ -391,9 +551,10 @@ def test_language_gradients():
     for p in (net.fore.p, net.back.p, net.out):
         for k in p:
             p[k] = p[k].astype(np.float64)
-    x, length, owner = language.coded(["ab", "hello", "zzzz", "q" * 40])
-    y = r.integers(0, 3, len(length))
-    _, grads = net.step(x, length, y)
+    x, _ = language.windows(["ab", "hello, 12", "zzzz", "q" * 140])
+    x = x[:, 4:28].T.astype(np.int64)  # padding before, between or behind
+    y = r.integers(0, 3, x.shape[1])
+    _, grads = net.step(x, y)
     for p, g in zip(net.parameters(), grads):
         for _ in range(8):
             at = tuple(r.integers(0, s) for s in p.shape)
@@ -401,13 +562,42 @@ def test_language_gradients():
                 at = (int(x[r.integers(0, len(x)), r.integers(0, x.shape[1])]), at[1])
             keep = p[at]
             p[at] = keep + 1e-4
-            high = net.step(x, length, y)[0]
+            high = net.step(x, y)[0]
             p[at] = keep - 1e-4
-            low = net.step(x, length, y)[0]
+            low = net.step(x, y)[0]
             p[at] = keep
             assert abs((high - low) / 2e-4 - g[at]) < 1e-3
 
 
+def test_language_und():
+    from weftline.llm import language
+
+    net = language.Network(["a", "b"])
+    assert [x for x, _ in net.read([None, "", " ", "12 %", "½ ² ① Ⅷ", "1.5 \u0301", "x", "日", "ª"])] == ["und"] * 6 + [net.read(["x"])[0][0], net.read(["日"])[0][0], net.read(["ª"])[0][0]]
+    assert "und" not in [x for x, _ in net.read(["x", "日", "ª"])]
+
+
+def test_language_windows(monkeypatch):
+    """Each byte of a text, blanks and marks included, is labelled in one window, and pooled with its own text."""
+    from weftline.llm import language
+
+    texts = ["ab c, 1!", "x" * 95, "y" * 94, "Äö" * 300, "z"]
+    found, counts = language.windows(texts)
+    own = found[:, language.CONTEXT : language.CONTEXT + language.STRIDE]
+    at = 0
+    for t, n in zip(texts, counts):
+        symbols = own[at : at + n].ravel()
+        assert symbols[symbols != language.PAD].tolist() == [256, *t.lower().encode(), 256]
+        at += n
+    net = language.Network(["a", "b", "c"])
+    together = net.pooled(texts)
+    monkeypatch.setattr(language, "BATCH", 2)
+    assert np.allclose(together, np.concatenate([net.pooled([t]) for t in texts]), atol=1e-5)
+    # states warm up over the context: a whole text in one window gives about the same
+    monkeypatch.setattr(language, "STRIDE", 2000)
+    assert np.abs(np.exp(together) - np.exp(net.pooled(texts))).max() < 0.02
+
+
 def test_components(spark):
     from weftline.llm.common import components
 

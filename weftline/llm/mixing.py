@@ -62,7 +62,9 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
     independent parts, each with a hash of its own, so that nothing underflows. __copy counts from 1. __key is a
     hash of seed, doc_id and copy; rows are dealt out by it and sorted by it within each partition. The rates, one
     row for each source, are broadcast up to a checked size; beyond it, documents and rates meet by source and salt.
-    All columns of docs pass through. An empty table gives no rows.
+    All columns of docs pass through; names that start with two underscores are reserved. A null text has size 0, a
+    null source is a source of its own, a null doc_id hashes as 'null', and repeated rows are repeated equally often.
+    An empty table gives no rows.
     """
     rates = source_rates(docs, weights, total, measure)
     parts = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / PART).cast("double"))

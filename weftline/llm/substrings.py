@@ -319,7 +319,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> D
     """(doc_key, first, n): runs of windows of docs (doc_key, text) whose words also start elsewhere.
 
     Windows from first to first + n - 1 (word numbers from 0) each occur at least twice, in any documents or in one.
-    The number of buckets follows the bytes of text, and each is read by one task. However common a passage is, it
+    The number of buckets follows the bytes of text up to 2^20 (3.4 TB; beyond it buckets grow), and each is read by one
+    task. However common a passage is, it
     adds one string for each task that met it. A minimiser with very many different surroundings, found by a count
     over all super-k-mers, does not name a bucket: windows around it go by their own hashes.
     """
