@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import exact_dedup, jaccard, mixing, pieces, toxicity
-from weftline.llm.common import cut, table
+from weftline.llm.common import compact, cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go; it learns from the labels of the other fold's documents."""
-    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return compact(toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of the documents with equal text stays: that with the longest original text, then the smallest doc_id."""
-    return exact_dedup.drop_exact_copies(docs)
+    return compact(exact_dedup.drop_exact_copies(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
-    return jaccard.drop_near_copies(docs)
+    return compact(jaccard.drop_near_copies(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with an end id, their number, and the text that they decode to."""
-    encoded = pieces.encode(docs, pieces.model_path(), columns=("doc_id", "lang", "source"))
+    encoded = pieces.encode(compact(docs), pieces.model_path(), columns=("doc_id", "lang", "source"))
     return encoded.select("doc_id", "lang", "source", F.col("decoded").alias("text"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
