@@ -8,6 +8,9 @@ from pyspark.sql import Column, functions as F
 
 PUNCTUATION = string.punctuation
 
+#: The same characters as a class; one pass of an expression is many times as fast as translate().
+_PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
+
 #: Whitespace as Python's str.split() sees it, in a form that Java's and RE2's expressions share.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -19,7 +22,7 @@ START, END = "startseq", "endseq"
 def clean(text: Column, legacy: bool = False) -> Column:
     """Lower case without ASCII punctuation. Tags go first; legacy keeps their letters, as deleting "<" and ">" first does."""
     source = text if legacy else F.regexp_replace(text, TAG, "")
-    return F.lower(F.translate(source, PUNCTUATION, ""))
+    return F.lower(F.regexp_replace(source, _PUNCTUATION_CLASS, ""))
 
 
 def tokens(text: Column, shortest: int = 2, banned: tuple[str, ...] = ("href", "https")) -> Column:
@@ -27,7 +30,7 @@ def tokens(text: Column, shortest: int = 2, banned: tuple[str, ...] = ("href", "
 
     Words that hold one of the banned strings go. Empty words never appear (a quirk of splitting empty texts is fixed).
     """
-    words = F.transform(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: F.lower(F.translate(w, PUNCTUATION, "")))
+    words = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _PUNCTUATION_CLASS, "")), SPACE)
 
     def keep(w: Column) -> Column:
         found = (F.length(w) >= shortest) & w.rlike(r"^\p{L}+$")

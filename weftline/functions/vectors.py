@@ -20,3 +20,14 @@ def one_hot(ix: Column, n: int) -> Column:
 
 def zeros(n: int) -> Column:
     return F.array_repeat(F.lit(0.0), n)
+
+
+def position_mean(v: Column, width: int, digits: int | None = None) -> Column:
+    """The mean of a grid over its positions: v holds them one after the other, width numbers each."""
+    n = F.floor(F.size(v) / F.lit(width)).cast("int")
+
+    def at(k: Column) -> Column:
+        total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, p: a + F.get(v, (p - 1) * width + k).cast("double"))
+        return F.round(total / n, digits) if digits is not None else total / n
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at))

@@ -7,9 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from weftline.plans.lineage import number_rows
 
 
+def _words(items: DataFrame, words: str) -> DataFrame:
+    """(word) of all lists. The outer form keeps Spark from inferring a filter on the list, which it would push below
+    joins and so work out the words of every row twice."""
+    return items.select(F.explode_outer(words).alias("word")).where("word is not null")
+
+
+def _places(items: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, pos, word) of all lists."""
+    return items.select(key, F.posexplode_outer(words).alias("pos", "word")).where("word is not null")
+
+
 def counts(items: DataFrame, words: str, least: int = 1) -> DataFrame:
     """(word, n) of the words of the token lists that occur at least `least` times."""
-    return items.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _words(items, words).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def index(items: DataFrame, key: str, words: str, least: int = 1) -> DataFrame:
@@ -17,7 +28,7 @@ def index(items: DataFrame, key: str, words: str, least: int = 1) -> DataFrame:
 
     0 is left for padding.
     """
-    seen = items.select(key, F.posexplode(words).alias("pos", "word")).groupBy("word")
+    seen = _places(items, key, words).groupBy("word")
     found = seen.agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("f")).where(F.col("n") >= least)
     found = found.select("word", "n", F.col("f")[key].alias("__k"), F.col("f")["pos"].alias("__p"))
     return number_rows(found, "__k", "__p", name="ix").drop("__k", "__p")
@@ -25,7 +36,7 @@ def index(items: DataFrame, key: str, words: str, least: int = 1) -> DataFrame:
 
 def index_by_frequency(items: DataFrame, key: str, words: str) -> DataFrame:
     """(word, n, ix): words numbered from 1 by falling count, then first occurrence."""
-    seen = items.select(key, F.posexplode(words).alias("pos", "word")).groupBy("word")
+    seen = _places(items, key, words).groupBy("word")
     found = seen.agg(F.count("*").alias("n"), F.min(F.struct(key, "pos")).alias("f"))
     found = found.select("word", "n", (-F.col("n")).alias("__n"), F.col("f")[key].alias("__k"), F.col("f")["pos"].alias("__p"))
     return number_rows(found, "__n", "__k", "__p", name="ix").drop("__n", "__k", "__p")
@@ -36,7 +47,7 @@ def encode(items: DataFrame, key: str, words: str, vocabulary: DataFrame) -> Dat
 
     The vocabulary is joined, not shipped: adaptive execution broadcasts it while it is small.
     """
-    at = items.select(key, F.posexplode(words).alias("pos", "word"))
+    at = _places(items, key, words)
     found = at.join(vocabulary.select("word", "ix"), "word")
     lists = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "ix"))).alias("l"))
     lists = lists.select(F.col(key).alias("__key"), F.col("l.ix").alias("seq"))

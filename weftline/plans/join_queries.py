@@ -93,7 +93,10 @@ def join_fallback_key(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("anti_seen", "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM benchmark)")
 def anti_seen(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").join(table(spark, d, "benchmark").select("text"), "text", "left_anti").select("doc_id")
+    """Texts meet by a 128-bit hash, so that whole texts are not join keys."""
+    key = F.md5(F.col("text").cast("binary"))
+    seen = table(spark, d, "benchmark").select(key.alias("k"))
+    return table(spark, d, "documents").select("doc_id", key.alias("k")).join(seen, "k", "left_anti").where("k is not null").select("doc_id")
 
 
 @R.add("join_allowlist", """
@@ -176,7 +179,7 @@ def vocab_counts(spark: SparkSession, d: str) -> DataFrame:
     """Words of the training part that occur at least five times."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     parts = corpus.split_parts(docs.select("doc_id"), "doc_id").where("part = 'TRAIN'").select("doc_id")
-    words = docs.join(parts, "doc_id").select(T.tokens(F.col("text")).alias("w"))
+    words = docs.join(parts, "doc_id", "left_semi").select(T.tokens(F.col("text")).alias("w"))
     return vocab.counts(words, "w", 5)
 
 
