@@ -52,15 +52,16 @@ def beam(inputs: DataFrame, key: str, scorer: DataFrame, width: int = 3, most: i
     hypothesis that takes the end token is finished. As soon as the end token has been the best word of some
     hypothesis of an input, its beam loses one place with every later step (kept from the original decoder). start
     names a column with the word to begin after, else it is the start token. After a word that the table lacks the
-    end token is certain, so that every input has hypotheses.
+    end token is certain, so that every input has hypotheses. Log probabilities are rounded to nine digits, so that
+    hypotheses of equal probability tie whatever the order of their words; ties take the smaller words.
     """
     by_prev = Window.partitionBy("prev").orderBy(F.desc("prob"), "next")
-    top = materialise(scorer.withColumn("r", F.row_number().over(by_prev)).where(F.col("r") <= width).select("prev", "next", F.ln("prob").alias("lp"), "r"))
+    top = materialise(scorer.withColumn("r", F.row_number().over(by_prev)).where(F.col("r") <= width).select("prev", "next", F.round(F.ln("prob"), 9).alias("lp"), "r"))
     first = F.coalesce(F.col(start), F.lit(START)) if start else F.lit(START)
     live = inputs.select(key, first.alias("last"), F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("score"), F.lit(width).alias("k"), F.lit(False).alias("shrinks"))
     finished: list[DataFrame] = []
     for _ in range(most):
-        grown = live.join(top, F.col("last") == F.col("prev"), "left").withColumn("score", F.col("score") + F.coalesce("lp", F.lit(0.0)))
+        grown = live.join(top, F.col("last") == F.col("prev"), "left").withColumn("score", F.round(F.col("score") + F.coalesce("lp", F.lit(0.0)), 9))
         grown = grown.withColumn("next", F.coalesce("next", F.lit(END))).withColumn("r", F.coalesce("r", F.lit(1)))
         ended = F.max(((F.col("r") == 1) & (F.col("next") == END)).cast("int")).over(Window.partitionBy(key)) == 1
         grown = grown.withColumn("shrinks", F.col("shrinks") | ended)

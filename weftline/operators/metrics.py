@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from weftline.functions.stem import stem
 from weftline.functions.text import ngrams
 
 ORDERS = (1, 2, 3, 4)
 
+#: Words whose stems a worker keeps.
+STEMS = 200_000
+
 
 def ngram_overlap(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """(key, n, clip, pred_total, ref_total) of pairs of token lists, for each n; a pair without n-grams has no row."""
@@ -101,10 +107,57 @@ def rouge_lcs(pairs: DataFrame, key: str, reference: str, prediction: str, weigh
     return pairs.select(key, reference, prediction).mapInPandas(score, f"{key} {kind}, p double, r double, f double")
 
 
+def stemmed(words: Column) -> Column:
+    """The stems of a list of words, in place."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, str] = {}
+        for some in lists:
+            if len(known) > STEMS:
+                known.clear()
+            flat = [known.get(w) or known.setdefault(w, stem(w)) for w in some.flatten().to_pylist()]
+            sizes = pc.fill_null(pc.list_value_length(some), 0).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.string()))
+
+    return run(words)
+
+
+def rouge_scores(pairs: DataFrame, key: str, reference: str, prediction: str, weight: float = 1.2, lcs: bool = True) -> DataFrame:
+    """(key, metric, p, r, f) of each pair for rouge-1 to rouge-4, and with lcs for rouge-l and rouge-w; 0 where nothing matches."""
+    share = lambda total: F.when(F.col(total) > 0, F.col("clip") / F.col(total)).otherwise(0.0)
+    found = ngram_overlap(pairs, key, reference, prediction).select(F.col(key).alias("__k"), "n", share("pred_total").alias("p"), share("ref_total").alias("r"))
+    every = pairs.select(key, F.explode(F.array(*map(F.lit, ORDERS))).alias("__n"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    out = every.join(found, (F.col(key) == F.col("__k")) & (F.col("__n") == F.col("n")), "left").select(key, F.concat(F.lit("rouge-"), F.col("__n").cast("string")).alias("metric"), zero("p"), zero("r"))
+    out = out.withColumn("f", f_score(F.col("p"), F.col("r")))
+    for name, w in (("rouge-l", 1.0), ("rouge-w", weight)) if lcs else ():
+        out = out.unionByName(rouge_lcs(pairs, key, reference, prediction, w, False).withColumn("metric", F.lit(name)))
+    return out
+
+
+def rouge_report(scores: DataFrame, item: str) -> DataFrame:
+    """(metric, aggregator, p, r, f) from scores (item, metric, p, r, f) of an item's prediction with each of its references.
+
+    Avg takes the mean over an item's references, Best the reference with the highest f (then r, then p); both then the
+    mean over items.
+    """
+    best = F.max(F.struct("f", "r", "p"))
+    each = scores.groupBy(item, "metric").agg(*[F.avg(c).alias(f"a_{c}") for c in "prf"], best.alias("b"))
+    sides = F.array(F.struct(F.lit("Avg").alias("aggregator"), *[F.col(f"a_{c}").alias(c) for c in "prf"]), F.struct(F.lit("Best").alias("aggregator"), *[F.col(f"b.{c}").alias(c) for c in "prf"]))
+    rows = each.select("metric", F.inline(sides))
+    return rows.groupBy("metric", "aggregator").agg(*[F.avg(c).alias(c) for c in "prf"])
+
+
 def novelty(predictions: DataFrame, known: DataFrame) -> DataFrame:
-    """One row: the share of predictions (text) that no known text equals, copies counted each time."""
-    seen = known.select(F.col("text").alias("__known")).distinct()
-    joined = predictions.join(seen, F.col("text") == F.col("__known"), "left")
+    """One row: the share of predictions (text) that no known text equals, copies counted each time.
+
+    Texts meet by a 128-bit hash, so that whole texts are not join keys; a null text equals none.
+    """
+    key = F.md5(F.col("text").cast("binary"))
+    seen = known.select(key.alias("__known")).distinct()
+    joined = predictions.select(key.alias("__k")).join(seen, F.col("__k") == F.col("__known"), "left")
     return joined.agg(F.count("*").alias("n"), F.sum(F.col("__known").isNull().cast("long")).alias("n_new"), F.avg(F.col("__known").isNull().cast("double")).alias("novelty"))
 
 
@@ -129,16 +182,24 @@ def distinctness(rows: DataFrame, item: str, caption: str) -> DataFrame:
 
 
 def vocabulary_size(rows: DataFrame, words: str) -> DataFrame:
-    return rows.select(F.explode(words).alias("w")).agg(F.countDistinct("w").alias("size"))
+    return rows.select(F.explode_outer(words).alias("w")).agg(F.countDistinct("w").alias("size"))
 
 
 def diversity(pairs: DataFrame, train: DataFrame, reference: str, prediction: str) -> DataFrame:
-    """One row: vocabulary sizes of train, references and predictions (token lists) and their ratios."""
-    out = vocabulary_size(train, "words").withColumnRenamed("size", "vocab_size_ref")
+    """One row of eleven measures of predictions: novelty against the train texts, distinctness within and across items
+    (those with one reference text), and vocabulary sizes of train, references and predictions with their ratios.
+
+    pairs has ref_text and pred_text and token lists under the given names, train has text and words. A share without a
+    denominator is null.
+    """
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    new = novelty(pairs.select(F.col("pred_text").alias("text")), train).select(F.col("novelty").alias("novelty_score"))
+    out = new.join(distinctness(pairs.select(digest("ref_text").alias("i"), digest("pred_text").alias("c")), "i", "c"), F.lit(True))
+    out = out.join(vocabulary_size(train, "words").withColumnRenamed("size", "vocab_size_ref"), F.lit(True))
     out = out.join(vocabulary_size(pairs, prediction).withColumnRenamed("size", "vocab_size_predictions"), F.lit(True))
     out = out.join(vocabulary_size(pairs, reference).withColumnRenamed("size", "__r"), F.lit(True))  # one row each
     return out.select(
-        "vocab_size_ref", "vocab_size_predictions",
+        "novelty_score", "fraction_distinct", "nr_distinct", "nr_duplicate_total", "within_item_duplicates", "fraction_within_duplicates", "vocab_size_ref", "vocab_size_predictions",
         (F.col("vocab_size_predictions") / F.nullif("vocab_size_ref", F.lit(0))).alias("vocab_perc_intrain"),
         (F.col("vocab_size_predictions") / F.nullif("__r", F.lit(0))).alias("vocab_perc_inref"),
         (F.col("vocab_size_ref") / F.nullif("__r", F.lit(0))).alias("vocab_per_test_train"),

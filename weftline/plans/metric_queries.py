@@ -24,6 +24,14 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(key.alias("pair_id"), "ref_text", "pred_text", T.tokens(F.col("ref_text")).alias("ref"), T.tokens(F.col("pred_text")).alias("pred"))
 
 
+def _combined(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of the conversations and, as a second set, each benchmark text with itself."""
+    words = T.tokens(F.col("text"))
+    own = F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pair_id")
+    more = table(spark, d, "benchmark").select(own, F.col("text").alias("ref_text"), F.col("text").alias("pred_text"), words.alias("ref"), words.alias("pred"))
+    return _pairs(spark, d).unionByName(more)
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in columns else c for c in df.columns])
 
@@ -97,9 +105,7 @@ def bleu_corpus(spark: SparkSession, d: str) -> DataFrame:
 @R.add("bleu_combined", "WITH " + sql.GRAMS.replace("FROM pairs)", "FROM pairs UNION ALL SELECT 'b' || item_id, " + sql.tokens("text") + ", " + sql.tokens("text") + " FROM benchmark)") + _BLEU)
 def bleu_combined(spark: SparkSession, d: str) -> DataFrame:
     """BLEU of the pairs of several sets together, not the mean of their scores."""
-    words = T.tokens(F.col("text"))
-    more = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pair_id"), words.alias("ref"), words.alias("pred"))
-    out = metrics.bleu(_pairs(spark, d).select("pair_id", "ref", "pred").unionByName(more), "pair_id", "ref", "pred")
+    out = metrics.bleu(_combined(spark, d), "pair_id", "ref", "pred")
     return _rounded(out, *out.columns)
 
 
@@ -112,14 +118,93 @@ def rouge_n(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.rouge_n(_pairs(spark, d), "pair_id", "ref", "pred"), "p", "r", "f")
 
 
-@R.add("rouge_l")
+def _lcs_sql(weight: float) -> str:
+    """Longest common subsequences row by row: best and run hold, for each place of pred, the value and the run of
+    matches that end there. A place without a match takes the best since the last match."""
+    return f"""
+WITH RECURSIVE {sql.PAIR_TOKENS.strip()},
+lcs AS (
+  SELECT pair_id, ref, pred, 0 AS i, list_transform(range(len(pred)), lambda x: 0.0::DOUBLE) AS best, list_transform(range(len(pred)), lambda x: 0::BIGINT) AS run FROM tok
+  UNION ALL
+  SELECT pair_id, ref, pred, i + 1,
+         list_transform(range(1, len(pred) + 1), lambda j: list_max(list_slice(cand, coalesce(list_max(list_filter(range(1, j + 1), lambda k: new[k] > 0)), 1), j))), new
+  FROM (
+    SELECT *, list_transform(range(1, len(pred) + 1), lambda j: CASE WHEN new[j] > 0 THEN coalesce(best[j - 1], 0) + pow(new[j], {weight}) - pow(new[j] - 1, {weight}) ELSE best[j] END) AS cand
+    FROM (SELECT *, list_transform(range(1, len(pred) + 1), lambda j: CASE WHEN pred[j] = ref[i + 1] THEN CASE WHEN j > 1 THEN run[j - 1] ELSE 0 END + 1 ELSE 0 END) AS new FROM lcs WHERE i < len(ref))
+  )
+),
+score AS (
+  SELECT pair_id, CASE WHEN len(pred) > 0 THEN pow(coalesce(best[-1], 0) / pow(len(pred), {weight}), 1 / {weight}) ELSE 0 END AS p,
+         CASE WHEN len(ref) > 0 THEN pow(coalesce(best[-1], 0) / pow(len(ref), {weight}), 1 / {weight}) ELSE 0 END AS r
+  FROM lcs WHERE i = len(ref)
+)
+SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f FROM score"""
+
+
+@R.add("rouge_l", _lcs_sql(1.0))
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.rouge_lcs(_pairs(spark, d), "pair_id", "ref", "pred"), "p", "r", "f")
+    return _rounded(metrics.rouge_lcs(_pairs(spark, d), "pair_id", "ref", "pred", stemmed=False), "p", "r", "f")
 
 
-@R.add("rouge_w")
+@R.add("rouge_w", _lcs_sql(1.2))
 def rouge_w(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.rouge_lcs(_pairs(spark, d), "pair_id", "ref", "pred", weight=1.2), "p", "r", "f")
+    return _rounded(metrics.rouge_lcs(_pairs(spark, d), "pair_id", "ref", "pred", weight=1.2, stemmed=False), "p", "r", "f")
+
+
+def _several(spark: SparkSession, d: str) -> DataFrame:
+    """Each answer with two references: the user's turns before and after it."""
+    talk = table(spark, d, "conversations")
+    answer = talk.where("role = 'assistant'").select("conv_id", "turn", T.tokens(F.col("text")).alias("pred"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    user = talk.where("role = 'user'").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), T.tokens(F.col("text")).alias("ref"))
+    joined = answer.join(user, (F.col("conv_id") == F.col("c")) & (F.col("turn") + F.col("side") == F.col("t")))
+    item = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return joined.select(item.alias("item"), F.concat_ws(":", item, F.col("side").cast("string")).alias("pair_id"), "ref", "pred")
+
+
+def _report(pairs: DataFrame, lcs: bool) -> DataFrame:
+    pairs = materialise(pairs)
+    scores = metrics.rouge_scores(pairs, "pair_id", "ref", "pred", lcs=lcs)
+    of = pairs.select("item", F.col("pair_id").alias("p_id"))
+    return _rounded(metrics.rouge_report(scores.join(of, F.col("pair_id") == F.col("p_id")), "item"), "p", "r", "f")
+
+
+_SEVERAL = f"""several AS (
+  SELECT a.conv_id || ':' || a.turn AS item, a.conv_id || ':' || a.turn || ':' || (u.turn - a.turn) AS pair_id, {sql.tokens('u.text')} AS ref, {sql.tokens('a.text')} AS pred
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND abs(u.turn - a.turn) = 1 WHERE a.role = 'assistant' AND u.role = 'user'
+)"""
+_OVERLAP = sql.GRAMS[sql.GRAMS.index("grams AS"):]
+
+
+@R.add("rouge_n_report", f"""
+WITH {_SEVERAL}, tok AS (SELECT pair_id, ref, pred FROM several), {_OVERLAP},
+s AS (
+  SELECT item, o.n, coalesce(CASE WHEN pred_total > 0 THEN clip / pred_total END, 0) AS p, coalesce(CASE WHEN ref_total > 0 THEN clip / ref_total END, 0) AS r
+  FROM several JOIN unnest([1, 2, 3, 4]) AS o(n) ON true LEFT JOIN overlap v ON v.pair_id = several.pair_id AND v.n = o.n
+),
+t AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM s),
+e AS (SELECT item, n, avg(p) AS ap, avg(r) AS ar, avg(f) AS af, max({{'f': f, 'r': r, 'p': p}}) AS b FROM t GROUP BY ALL)
+SELECT 'rouge-' || n AS metric, 'Avg' AS aggregator, round(avg(ap), 6) AS p, round(avg(ar), 6) AS r, round(avg(af), 6) AS f FROM e GROUP BY n
+UNION ALL SELECT 'rouge-' || n, 'Best', round(avg(b.p), 6), round(avg(b.r), 6), round(avg(b.f), 6) FROM e GROUP BY n""")
+def rouge_n_report(spark: SparkSession, d: str) -> DataFrame:
+    """Avg and Best of ROUGE-N over answers with several references, words as they are."""
+    return _report(_several(spark, d), False)
+
+
+@R.add("rouge_report")
+def rouge_report(spark: SparkSession, d: str) -> DataFrame:
+    """Avg and Best of all ROUGE kinds on stems. SQL has no stemmer; tests hold it against the same in plain Python."""
+    pairs = _several(spark, d)
+    return _report(pairs.select("item", "pair_id", metrics.stemmed(F.col("ref")).alias("ref"), metrics.stemmed(F.col("pred")).alias("pred")), True)
+
+
+@R.add("rouge_combined", f"""
+WITH {sql.GRAMS.replace("FROM pairs)", "FROM pairs UNION ALL SELECT 'b' || item_id, " + sql.tokens("text") + ", " + sql.tokens("text") + " FROM benchmark)")},
+s AS (SELECT n, CASE WHEN pred_total > 0 THEN clip / pred_total ELSE 0 END AS p, CASE WHEN ref_total > 0 THEN clip / ref_total ELSE 0 END AS r FROM overlap)
+SELECT n, round(sum(p) / (SELECT count(*) FROM tok), 6) AS p, round(sum(r) / (SELECT count(*) FROM tok), 6) AS r,
+       round(sum(CASE WHEN p + r > 0 THEN p * r / (0.5 * p + 0.5 * r) ELSE 0 END) / (SELECT count(*) FROM tok), 6) AS f FROM s GROUP BY n""")
+def rouge_combined(spark: SparkSession, d: str) -> DataFrame:
+    """ROUGE-N over the pairs of several sets together."""
+    return _rounded(metrics.rouge_n(_combined(spark, d), "pair_id", "ref", "pred"), "p", "r", "f")
 
 
 @R.add("novelty", """
@@ -143,16 +228,38 @@ def distinctness(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.distinctness(rows, "source", "c"), "fraction_distinct", "fraction_within_duplicates")
 
 
-@R.add("diversity_summary", f"""
-WITH {sql.PAIR_TOKENS},
+def _diversity_sql(more: str = "") -> str:
+    return f"""
+WITH {sql.PAIRS.strip()},
+both_sets AS (SELECT ref_text, pred_text FROM pairs {more}),
+nov AS (SELECT avg((pred_text NOT IN (SELECT text FROM benchmark))::INT) AS novelty FROM both_sets),
+cells AS (SELECT ref_text, pred_text AS c, count(*) AS k FROM both_sets GROUP BY ALL),
+w AS (SELECT c, count(*) AS items, sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS w, sum(k) AS r FROM cells GROUP BY c),
+t AS (SELECT count(*) FILTER (items = 1) AS nr_distinct, coalesce(sum(items) FILTER (items > 1), 0)::BIGINT AS nr_duplicate_total, sum(w)::BIGINT AS within_item_duplicates, sum(r) AS n FROM w),
 a AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest({sql.tokens('text')}) AS w FROM benchmark)),
-b AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest(pred) AS w FROM tok)),
-c AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest(ref) AS w FROM tok))
-SELECT a.n AS vocab_size_ref, b.n AS vocab_size_predictions, round(b.n / a.n, 6) AS vocab_perc_intrain, round(b.n / c.n, 6) AS vocab_perc_inref, round(a.n / c.n, 6) AS vocab_per_test_train
-FROM a, b, c""")
+b AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest({sql.tokens('pred_text')}) AS w FROM both_sets)),
+c AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest({sql.tokens('ref_text')}) AS w FROM both_sets))
+SELECT round(novelty, 6) AS novelty_score, round(nr_distinct / (nr_distinct + nr_duplicate_total), 6) AS fraction_distinct, nr_distinct, nr_duplicate_total, within_item_duplicates,
+       round(within_item_duplicates / t.n, 6) AS fraction_within_duplicates, a.n AS vocab_size_ref, b.n AS vocab_size_predictions,
+       round(b.n / a.n, 6) AS vocab_perc_intrain, round(b.n / c.n, 6) AS vocab_perc_inref, round(a.n / c.n, 6) AS vocab_per_test_train
+FROM nov, t, a, b, c"""
+
+
+def _diversity(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    train = table(spark, d, "benchmark").select("text", T.tokens(F.col("text")).alias("words"))
+    out = metrics.diversity(pairs, train, "ref", "pred")
+    return _rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
+
+
+@R.add("diversity_summary", _diversity_sql())
 def diversity_summary(spark: SparkSession, d: str) -> DataFrame:
-    train = table(spark, d, "benchmark").select(T.tokens(F.col("text")).alias("words"))
-    return _rounded(metrics.diversity(_pairs(spark, d), train, "ref", "pred"), "vocab_perc_intrain", "vocab_perc_inref", "vocab_per_test_train")
+    return _diversity(spark, d, _pairs(spark, d))
+
+
+@R.add("diversity_combined", _diversity_sql("UNION ALL SELECT text, text FROM benchmark"))
+def diversity_combined(spark: SparkSession, d: str) -> DataFrame:
+    """The measures over the pairs of several sets together."""
+    return _diversity(spark, d, _combined(spark, d))
 
 
 _GUESS = "CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END"
@@ -207,7 +314,30 @@ def greedy_decode(spark: SparkSession, d: str) -> DataFrame:
     return decode.greedy(inputs, "pair_id", decode.bigram_scorer(_words(spark, d), "w"), 20, "first")
 
 
-@R.add("beam_search")
+@R.add("beam_search", f"""
+WITH RECURSIVE texts AS (SELECT list_concat(list_concat(['startseq'], {sql.tokens('text')}), ['endseq']) AS w FROM conversations WHERE role = 'assistant'),
+bi AS (SELECT w[i] AS prev, w[i + 1] AS nxt, count(*) AS n FROM texts, unnest(range(1, len(w))) g(i) GROUP BY ALL),
+prob AS (SELECT prev, nxt, n / sum(n) OVER (PARTITION BY prev) AS p FROM bi),
+top AS (SELECT prev, nxt, round(ln(p), 9) AS lp, row_number() OVER (PARTITION BY prev ORDER BY p DESC, nxt) AS r FROM prob QUALIFY r <= 3),
+{sql.PAIR_TOKENS.strip()},
+run AS (
+  SELECT pair_id, coalesce(ref[1], 'startseq') AS last, []::VARCHAR[] AS words, 0.0::DOUBLE AS score, 3 AS k, false AS shrinks, 0 AS step FROM tok
+  UNION ALL
+  SELECT pair_id, nxt, CASE WHEN nxt = 'endseq' THEN words ELSE list_append(words, nxt) END, sc, k - shrinks_now::INT, shrinks_now, step + 1
+  FROM (
+    SELECT *, shrinks OR max((r = 1 AND nxt = 'endseq')::INT) OVER (PARTITION BY pair_id) = 1 AS shrinks_now,
+           row_number() OVER (PARTITION BY pair_id ORDER BY sc DESC, array_to_string(list_append(words, nxt), ' ')) AS place
+    FROM (
+      SELECT pair_id, words, k, shrinks, step, coalesce(nxt, 'endseq') AS nxt, coalesce(r, 1) AS r, round(score + coalesce(lp, 0.0), 9) AS sc
+      FROM run LEFT JOIN top ON last = prev WHERE last <> 'endseq' AND k > 0 AND step < 12
+    )
+  ) WHERE place <= k
+),
+ended AS (
+  SELECT pair_id, array_to_string(words, ' ') AS words, CASE WHEN last = 'endseq' THEN score / (len(words) + 1) ELSE score / len(words) END AS s
+  FROM run WHERE step > 0 AND (last = 'endseq' OR step = 12 AND k > 0)
+)
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY s DESC, words)::INT AS place, words, round(s, 6) AS score FROM ended""")
 def beam_search(spark: SparkSession, d: str) -> DataFrame:
     """The best continuations of each reference's first word, by the bigrams of the answers."""
     inputs = _pairs(spark, d).select("pair_id", F.get("ref", F.lit(0)).alias("first"))
