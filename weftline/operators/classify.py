@@ -4,24 +4,30 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions.text import tokens
 from weftline.operators.corpus import split_parts
 
+#: Labels that a classifier may have.
+MOST_LABELS = 10_000
+
 
 def classify_texts(docs: DataFrame, key: str, text: str, label: str, features: int = 1 << 12) -> DataFrame:
     """(key, part, label, predicted): a logistic regression learned on the TRAIN part, applied to every row.
 
-    Rows without a label teach nothing. Labels are numbered by name; there are few of them, and they reach the driver.
+    Rows without a label teach nothing. Labels are numbered by name; they reach the driver, at most MOST_LABELS.
     """
-    names = [r[0] for r in docs.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
-    number = F.coalesce(*[F.when(F.col(label) == n, F.lit(float(i))) for i, n in enumerate(names)])
+    known = docs.where(F.col(label).isNotNull())
+    if (n := known.select(label).distinct().limit(MOST_LABELS + 1).count()) > MOST_LABELS or not n:
+        raise ValueError(f"between 1 and {MOST_LABELS} labels are needed")
     parts = split_parts(docs.select(key), key).withColumnRenamed(key, "__key")
-    rows = docs.select(key, F.col(label).alias("label_name"), number.alias("label"), tokens(F.col(text), 1, ()).alias("w"))
+    rows = docs.select(key, F.col(label).alias("label"), tokens(F.col(text), 1, ()).alias("w"))
     rows = rows.join(parts, F.col(key) == F.col("__key")).drop("__key")
-    stages = [HashingTF(inputCol="w", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", maxIter=20, regParam=0.01)]
-    model = Pipeline(stages=stages).fit(rows.where((F.col("part") == "TRAIN") & F.col("label").isNotNull()))
-    name_of = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
-    return model.transform(rows).select(key, "part", F.col("label_name").alias("label"), name_of.alias("predicted"))
+    train = rows.where((F.col("part") == "TRAIN") & F.col("label").isNotNull())
+    names = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+    stages = [HashingTF(inputCol="w", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", maxIter=20, regParam=0.01)]
+    model = Pipeline(stages=stages).fit(names.transform(train))
+    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=names.labels)
+    return back.transform(model.transform(rows)).select(key, "part", "label", "predicted")

@@ -18,7 +18,10 @@ def next_words(items: DataFrame, key: str, seq: str, length: int) -> DataFrame:
 
 
 def shifted(items: DataFrame, key: str, seq: str, length: int) -> DataFrame:
-    """(key, input, output): the list without its last and without its first word, padded on the right to length."""
+    """(key, input, output): the list without its last and without its first word, padded on the right to length.
+
+    Longer lists keep their first length words on either side, as a fixed row asks for; lists of fewer than two words go.
+    """
     body = items.where(F.size(seq) > 1)
     return body.select(
         key, pad(F.slice(seq, 1, F.size(seq) - 1), length, left=False).alias("input"),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from weftline.functions import text as T
+from weftline.functions import text as T, vectors as V
 from weftline.operators import corpus, vocab
-from weftline.plans import sql
+from weftline.plans import join_queries, sql
 from weftline.plans.lineage import materialise, md5_order, number_rows
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table, write
@@ -115,3 +115,67 @@ def corpus_vocab_pages(spark: SparkSession, d: str) -> DataFrame:
     """Words of raw pages that occur at least ten times; what is left of links goes."""
     rows = table(spark, d, "pages").select(T.tokens(F.col("html")).alias("w"))
     return vocab.counts(rows, "w", 10)
+
+
+@R.add("random_config", f"""
+SELECT embedding, extractor, architecture, dropout FROM ({join_queries.R.sql["config_grid"]})
+ORDER BY md5('7|' || embedding || extractor || architecture || dropout) LIMIT 1""")
+def random_config(spark: SparkSession, d: str) -> DataFrame:
+    """One configuration of the grid at random, the same for a seed."""
+    names = ("embedding", "extractor", "architecture", "dropout")
+    grid = join_queries.config_grid(spark, d).select(*names).withColumn("k", F.concat(*names))
+    return corpus.sample_k(grid, "k", 1, 7).select(*names)
+
+
+@R.add("config_prefix", "SELECT substr(source, 1, 2) AS prefix, count(*) AS n FROM documents WHERE substr(source, 1, 2) <> 'MA' GROUP BY 1")
+def config_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Keys whose first two characters are not MA, by those characters."""
+    prefix = F.substring("source", 1, 2)
+    return table(spark, d, "documents").where(prefix != "MA").groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@R.add("position_mean", """
+SELECT vec_id, list_transform(range(0, 8), lambda k: round(list_avg(list_transform(range(0, len(embedding) // 8), lambda p: embedding[p * 8 + k + 1]::DOUBLE)), 6)) AS mean
+FROM embeddings WHERE embedding IS NOT NULL""")
+def position_mean(spark: SparkSession, d: str) -> DataFrame:
+    """The mean over the positions of one item, its vector read as a grid of positions with 8 numbers each."""
+    return table(spark, d, "embeddings").where("embedding is not null").select("vec_id", V.position_mean(F.col("embedding"), 8, 6).alias("mean"))
+
+
+@R.add("crop_box", """
+SELECT event_id, [x, y, x + 10 + event_id % 50, y + 5 + event_id % 30] AS box, (10 + event_id % 50) * (5 + event_id % 30) AS area
+FROM (SELECT event_id, event_id % 7 AS x, event_id % 11 AS y FROM events)""")
+def crop_box(spark: SparkSession, d: str) -> DataFrame:
+    """The corners (x_min, y_min, x_max, y_max) of a detection's coordinates, and the area that they cut out."""
+    e = F.col("event_id")
+    at = F.struct((e % 7).alias("x_min"), (e % 11).alias("y_min"), (e % 7 + 10 + e % 50).alias("x_max"), (e % 11 + 5 + e % 30).alias("y_max"))
+    box = F.array(*[F.col(f"at.{c}") for c in ("x_min", "y_min", "x_max", "y_max")])
+    area = (F.col("at.x_max") - F.col("at.x_min")) * (F.col("at.y_max") - F.col("at.y_min"))
+    return table(spark, d, "events").select("event_id", at.alias("at")).select("event_id", box.alias("box"), area.alias("area"))
+
+
+@R.add("best_step", """
+WITH s AS (SELECT event_type AS config, date_diff('day', DATE '2024-01-01', ts::DATE) AS step, round(avg(value), 6) AS cur FROM events GROUP BY ALL),
+l AS (SELECT *, lag(cur, 1) OVER w AS p1, lag(cur, 2) OVER w AS p2 FROM s WINDOW w AS (PARTITION BY config ORDER BY step)),
+e AS (SELECT config, min(step) AS stop FROM l WHERE cur <= 0.9 * p1 OR (p2 IS NOT NULL AND cur <= p1 AND cur <= p2) GROUP BY config)
+SELECT s.config, s.step::INT AS best_step, s.cur AS best FROM s LEFT JOIN e USING (config) WHERE stop IS NULL OR s.step <= stop
+QUALIFY row_number() OVER (PARTITION BY s.config ORDER BY s.cur DESC, s.step) = 1""")
+def best_step(spark: SparkSession, d: str) -> DataFrame:
+    """The step whose weights a training run keeps: the best one up to where it stops, the earlier of equal ones."""
+    step = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    series = table(spark, d, "events").groupBy(F.col("event_type").alias("config"), step.alias("step")).agg(F.round(F.avg("value"), 6).alias("cur"))
+    w = Window.partitionBy("config").orderBy("step")
+    lagged = series.select("*", F.lag("cur", 1).over(w).alias("p1"), F.lag("cur", 2).over(w).alias("p2"))
+    stops = (F.col("cur") <= 0.9 * F.col("p1")) | (F.col("p2").isNotNull() & (F.col("cur") <= F.col("p1")) & (F.col("cur") <= F.col("p2")))
+    first = F.min(F.when(stops, F.col("step"))).over(Window.partitionBy("config"))
+    kept = lagged.withColumn("stop", first).where(F.col("stop").isNull() | (F.col("step") <= F.col("stop")))
+    best = kept.groupBy("config").agg(F.max(F.struct("cur", (-F.col("step")).alias("s"))).alias("b"))
+    return best.select("config", (-F.col("b.s")).alias("best_step"), F.col("b.cur").alias("best"))
+
+
+@R.add("parked_failures", """
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN substr(props, 2) ELSE props END AS props, event_id % 5 = 0 AS parked FROM events""")
+def parked_failures(spark: SparkSession, d: str) -> DataFrame:
+    """All rows, those that do not parse parked beside the others with their text; every fifth one is broken here."""
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props")).alias("props"))
+    return rows.withColumn("parked", F.from_json("props", "map<string,string>").isNull())

@@ -207,6 +207,7 @@ WITH {sql.ENCODED},
 s AS (SELECT id, list_slice(list_slice(seq, 1, len(seq) - 1), 1, 30) AS a, list_slice(list_slice(seq, 2, len(seq)), 1, 30) AS b FROM encoded WHERE len(seq) > 1)
 SELECT id, list_concat(a, list_resize([]::BIGINT[], 30 - len(a), 0)) AS input, list_concat(b, list_resize([]::BIGINT[], 30 - len(b), 0)) AS output FROM s""")
 def shifted_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs and outputs of exactly 30 words, longer lists cut there: the length is the operator's own parameter."""
     return sequence.shifted(_encoded(spark, d), "id", "seq", 30)
 
 

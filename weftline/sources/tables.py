@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.functions.text import SPACE
+from weftline.plans.lineage import materialise
 
 #: A product item; producers leave fields out, which then are null.
 ITEM = (
@@ -36,8 +37,8 @@ def items(spark: SparkSession, path: str, extension: str = "*.txt") -> DataFrame
 
 
 def good_and_bad(read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with a description, and a side output of those that could not be parsed."""
-    read = read.cache()
+    """Items with a description, and a side output of those that could not be parsed. Both read one written table."""
+    read = materialise(read)
     good = read.where(F.col("_corrupt_record").isNull() & F.col("description").isNotNull() & (F.col("description") != ""))
     return good.drop("_corrupt_record"), read.where(F.col("_corrupt_record").isNotNull())
 
@@ -77,8 +78,21 @@ def configs(spark: SparkSession, names: str, folder_of: dict[str, str]) -> DataF
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as (path, length, content); empty ones go."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") > 0)
+    """Image files as (path, length, content); empty, unknown and broken off ones go.
+
+    A file stays if it begins and ends as JPEG, PNG or GIF files do; its pixels are not decoded.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") > 0)
+    return found.where(whole_image(F.col("content")))
+
+
+def whole_image(content: Column) -> Column:
+    """Whether bytes have the beginning and the end of an image file."""
+    head, tail = F.hex(F.substring(content, 1, 8)), F.hex(F.substring(content, -12, 12))
+    jpeg = head.startswith("FFD8FF") & tail.endswith("FFD9")
+    png = (head == "89504E470D0A1A0A") & (tail == "0000000049454E44AE426082")
+    gif = (head.startswith("474946383761") | head.startswith("474946383961")) & tail.endswith("3B")
+    return F.coalesce(jpeg | png | gif, F.lit(False))
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", partition: Iterable[str] = ()) -> None:
