@@ -140,6 +140,69 @@ def test_rouge(spark):
     assert plural["f"] == 1
 
 
+def rouge_brute(ref, pred):
+    """(p, r, f) by kind for two lists of stems."""
+    out = {}
+
+    def put(kind, p, r):
+        out[kind] = (p, r, 2 * p * r / (p + r) if p + r else 0.0)
+
+    for n in (1, 2, 3, 4):
+        a, b = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (ref, pred))
+        both = (a & b).total()
+        put(f"rouge-{n}", both / b.total() if b else 0.0, both / a.total() if a else 0.0)
+    for kind, w in (("rouge-l", 1.0), ("rouge-w", 1.2)):
+        best, run = Counter(), Counter()
+        for i in range(1, len(ref) + 1):
+            for j in range(1, len(pred) + 1):
+                if ref[i - 1] == pred[j - 1]:
+                    k = run[i - 1, j - 1]
+                    best[i, j], run[i, j] = best[i - 1, j - 1] + (k + 1) ** w - k**w, k + 1
+                else:
+                    best[i, j] = max(best[i - 1, j], best[i, j - 1])
+        both = best[len(ref), len(pred)]
+        put(kind, *((both / len(x) ** w) ** (1 / w) if x else 0.0 for x in (pred, ref)))
+    return out
+
+
+def test_rouge_report(spark):
+    """Averages and bests of all kinds on stems, each answer with the user's turns around it."""
+    talk = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    rows = talk.select("conv_id", "turn", "role", T.tokens(F.col("text")).alias("w")).collect()
+    users = {(r["conv_id"], r["turn"]): [stem.stem(x) for x in r["w"]] for r in rows if r["role"] == "user"}
+    items = []
+    for r in rows:
+        near = [users[k] for k in ((r["conv_id"], r["turn"] - 1), (r["conv_id"], r["turn"] + 1)) if k in users]
+        if r["role"] == "assistant" and near:
+            items.append([rouge_brute(ref, [stem.stem(x) for x in r["w"]]) for ref in near])
+    got = {(r["metric"], r["aggregator"]): (r["p"], r["r"], r["f"]) for r in queries.QUERIES["rouge_report"](spark, SMALL).collect()}
+    assert len(got) == 12 and any(len(i) > 1 for i in items)
+    for kind in items[0][0]:
+        avg = [sum(sum(s[kind][k] for s in i) / len(i) for i in items) / len(items) for k in range(3)]
+        tops = [max((s[kind] for s in i), key=lambda s: (s[2], s[1], s[0])) for i in items]
+        best = [sum(t[k] for t in tops) / len(items) for k in range(3)]
+        assert got[kind, "Avg"] == pytest.approx(avg, abs=2e-6) and got[kind, "Best"] == pytest.approx(best, abs=2e-6)
+
+
+def test_stemmed_lists(spark):
+    rows = spark.createDataFrame([(1, ["running", "dogs"]), (2, []), (3, None), (4, ["flies"])], "id long, w array<string>")
+    got = dict(rows.select("id", metrics.stemmed(F.col("w"))).collect())
+    assert got[1] == [stem.stem("running"), "dog"] and got[2] == [] and not got[3] and got[4] == ["fli"]
+
+
+def test_classifier_quality(spark):
+    """Texts of languages are told apart on rows that were not learned from."""
+    rows = [r for r in queries.QUERIES["source_classify"](spark, "/root/testdata/sf0.01").collect() if r["part"] == "TEST" and r["label"]]
+    assert len(rows) > 150 and sum(r["label"] == r["predicted"] for r in rows) / len(rows) > 0.95
+
+
+def test_classifier_labels(spark):
+    from weftline.operators import classify
+
+    with pytest.raises(ValueError):
+        classify.classify_texts(spark.createDataFrame([(1, "a b", None)], "id long, text string, y string"), "id", "text", "y")
+
+
 @pytest.mark.parametrize("word,want", [
     ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"),
     ("conflated", "conflat"), ("troubled", "troubl"), ("sized", "size"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"),
@@ -253,9 +316,11 @@ def test_configs_and_writers(spark, tmp_path):
         tables.write(spark.range(3), f"{tmp_path}/{kind}", kind)
     assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == spark.read.json(f"{tmp_path}/json").count() == 3
     (tmp_path / "img").mkdir()
-    (tmp_path / "img/a.jpg").write_bytes(b"x")
-    (tmp_path / "img/b.jpg").write_bytes(b"")
-    assert tables.images(spark, f"{tmp_path}/img").count() == 1
+    png = bytes.fromhex("89504E470D0A1A0A") + b"data" + bytes.fromhex("0000000049454E44AE426082")
+    files = {"a.jpg": b"\xff\xd8\xff\xe0data\xff\xd9", "b.png": png, "c.gif": b"GIF89adata;", "empty.jpg": b"", "text.jpg": b"no image", "cut.jpg": b"\xff\xd8\xff\xe0da", "cut.png": png[:-4]}
+    for name, data in files.items():
+        (tmp_path / "img" / name).write_bytes(data)
+    assert sorted(r["path"][-5:] for r in tables.images(spark, f"{tmp_path}/img").collect()) == ["a.jpg", "b.png", "c.gif"]
 
 
 def test_stream_keeps_its_state(spark, tmp_path):
