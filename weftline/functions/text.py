@@ -12,7 +12,8 @@ PUNCTUATION = string.punctuation
 _PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 
 #: Whitespace as Python's str.split() sees it, in a form that Java's and RE2's expressions share.
-SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[{_SPACES}]+"
 
 TAG = "<[^>]*>"
 
@@ -30,15 +31,17 @@ def tokens(text: Column, shortest: int = 2, banned: tuple[str, ...] = ("href", "
 
     Words that hold one of the banned strings go. Empty words never appear (a quirk of splitting empty texts is fixed).
     """
-    words = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _PUNCTUATION_CLASS, "")), SPACE)
+    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _PUNCTUATION_CLASS, ""))
+    # one pass of an expression over the text, in place of a split and a test of each word
+    words = F.regexp_extract_all(plain, F.lit(rf"(?<![^{_SPACES}])\p{{L}}{{{shortest},}}+(?![^{_SPACES}])"), F.lit(0))
 
     def keep(w: Column) -> Column:
-        found = (F.length(w) >= shortest) & w.rlike(r"^\p{L}+$")
+        found = F.lit(True)
         for b in banned:
             found = found & ~w.contains(b)
         return found
 
-    return F.filter(words, keep)
+    return F.filter(words, keep) if banned else words
 
 
 def wrapped(words: Column) -> Column:

@@ -21,11 +21,12 @@ STEMS = 200_000
 
 def ngram_overlap(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """(key, n, clip, pred_total, ref_total) of pairs of token lists, for each n; a pair without n-grams has no row."""
-    def side(words: str, is_pred: int) -> DataFrame:
-        grams = F.flatten(F.array(*[F.arrays_zip(F.array_repeat(F.lit(n), F.size(ngrams(F.col(words), n))).alias("n"), ngrams(F.col(words), n).alias("g")) for n in orders]))
-        return pairs.select(key, F.explode(grams).alias("x"), F.lit(is_pred).alias("p")).select(key, "x.n", "x.g", "p")
+    def grams(words: str, is_pred: int) -> Column:
+        one = lambda n: F.transform(ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(is_pred).alias("p")))
+        return F.concat(*[one(n) for n in orders])
 
-    both = side(reference, 0).unionByName(side(prediction, 1))
+    # both sides in one pass over the pairs; the outer form keeps Spark from working the lists out twice for a filter
+    both = pairs.select(key, F.explode_outer(F.concat(grams(reference, 0), grams(prediction, 1))).alias("x")).where("x is not null").select(key, "x.n", "x.g", "x.p")
     per_gram = both.groupBy(key, "n", "g").agg(F.sum("p").alias("hyp"), F.sum(1 - F.col("p")).alias("ref"))
     return per_gram.groupBy(key, "n").agg(F.sum(F.least("hyp", "ref")).alias("clip"), F.sum("hyp").alias("pred_total"), F.sum("ref").alias("ref_total"))
 
