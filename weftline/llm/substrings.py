@@ -26,11 +26,12 @@ from .common import BLANK_CLASS, cut, table
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 35, 4
 
-#: Bytes of packed strings that a task gathers before it sends them off, and bytes wanted in a bucket.
-GATHER, BUCKET = 24 << 20, 10 << 20
+#: Bytes of packed strings that a task gathers before it sends them off, bytes wanted in a bucket, and buckets of a task.
+GATHER, BUCKET, PER_TASK = 24 << 20, 10 << 20, 2
 
-#: Super-k-mers of a cell of minimisers from which, at four times as many or of the mean, it counts as hot.
-LEAST_HOT = 500
+#: Super-k-mers of a cell of minimisers from which, at four times as many or of the mean, it counts as hot; cells at most,
+#: which bounds the hot ones that are broadcast to a quarter, 8 MB. Text of over 3.4 TB has more buckets than cells for them.
+LEAST_HOT, MOST_CELLS = 500, 1 << 22
 
 #: Distinct words whose hashes a worker keeps.
 CACHE = 250_000
@@ -141,7 +142,7 @@ def _places(n_parts: int, n_cells: int, hot: Broadcast, window: int, m: int):
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = Hashes(), zstandard.ZstdCompressor(level=3)
-        found: list[dict[str, list[int]]] = [{} for _ in range(n_parts)]
+        found: dict[str, list[int]] = {}  # of each string its bucket, first place, part of the minimiser, kind, further places
         size, hot_cells = 0, hot.value
 
         turn = 0
@@ -150,25 +151,46 @@ def _places(n_parts: int, n_cells: int, hot: Broadcast, window: int, m: int):
             nonlocal turn
             rows: list[tuple[int, bytes]] = []
             known: list[int] = []
-            for i, strings in enumerate(found):
-                if strings:
-                    at = np.array([x for v in strings.values() for x in v[:2]], np.int64)
-                    key = np.array([v[2] for v in strings.values()], np.uint32)
-                    kind = np.array([1 + v[3] if len(v) == 4 else 0 for v in strings.values()], np.uint8)
-                    rows.append((i, packed(np.array([len(strings), 0], np.int64), at, key, kind, "\n".join(strings))))
-                    for string, v in strings.items():
-                        if len(v) > 4:
-                            n = string.count(" ") + 2 - window
-                            known += (v[0], v[1], n)
-                            known += [x for j in range(4, len(v), 2) for x in (v[j], v[j + 1], n)]
-                    strings.clear()
-                while len(known) > 30_000 or known and i == n_parts - 1:  # dealt out in turn, however common a passage is
+
+            def give() -> Iterator[pa.RecordBatch]:
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["part", "blob"])
+                    rows.clear()
+
+            def known_shares(least: int) -> Iterator[pa.RecordBatch]:
+                nonlocal known, turn
+                while len(known) > least:  # dealt out in turn, however common a passage is
                     share, known = known[:30_000], known[30_000:]
                     rows.append((turn % n_parts, packed(np.array([0, len(share) // 3], np.int64), np.array(share, np.int64))))
                     turn += 7
-                if len(rows) >= 64 or i == n_parts - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "blob"])
-                    rows = []
+                    if len(rows) >= 64:
+                        yield from give()
+
+            strings, values = list(found), list(found.values())
+            found.clear()
+            bucket = np.array([v[0] for v in values], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
+            held = 0
+            for group in np.split(order, edges[1:]) if len(order) else []:
+                some = [values[i] for i in group]
+                at = np.array([x for v in some for x in v[1:3]], np.int64)
+                key = np.array([v[3] for v in some], np.uint32)
+                kind = np.array([1 + v[4] if len(v) == 5 else 0 for v in some], np.uint8)
+                blob = packed(np.array([len(some), 0], np.int64), at, key, kind, "\n".join([strings[i] for i in group]))
+                rows.append((some[0][0], blob))
+                held += len(blob)
+                for i, v in zip(group, some):
+                    if len(v) > 5:
+                        n = strings[i].count(" ") + 2 - window
+                        known += (v[1], v[2], n)
+                        known += [x for j in range(5, len(v), 2) for x in (v[j], v[j + 1], n)]
+                yield from known_shares(30_000)
+                if len(rows) >= 4096 or held > 4 << 20:
+                    yield from give()
+                    held = 0
+            yield from known_shares(0)
+            yield from give()
 
         def packed(*items: np.ndarray | str) -> bytes:
             return packer.compress(b"".join(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x.tobytes() for x in items))
@@ -193,15 +215,15 @@ def _places(n_parts: int, n_cells: int, hot: Broadcast, window: int, m: int):
                 parts, short = (low % np.uint64(n_parts)).tolist(), (low >> np.uint64(32)).tolist()
                 for a, b, i, k, o in zip(first.tolist(), (first + n + window - 1).tolist(), parts, short, once.tolist()):
                     string = " ".join(words[a:b])
-                    if (at := found[i].get(string)) is None:
-                        found[i][string] = [key, a, k, o]
+                    if (at := found.get(string)) is None:
+                        found[string] = [i, key, a, k, o]
                         size += 2 * len(string) + 200
                     else:
                         at += (key, a)
                         size += 80
                 if size > 4 * GATHER:
-                        yield from flush()
-                        size = 0
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     return run
@@ -319,23 +341,23 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> D
     """(doc_key, first, n): runs of windows of docs (doc_key, text) whose words also start elsewhere.
 
     Windows from first to first + n - 1 (word numbers from 0) each occur at least twice, in any documents or in one.
-    The number of buckets follows the bytes of text up to 2^20 (3.4 TB; beyond it buckets grow), and each is read by one
-    task. However common a passage is, it
+    The number of buckets follows the bytes of text. A task that makes strings holds GATHER of them whatever that number
+    is; one that reads gets some PER_TASK buckets, sorted, and holds one at a time. However common a passage is, it
     adds one string for each task that met it. A minimiser with very many different surroundings, found by a count
     over all super-k-mers, does not name a bucket: windows around it go by their own hashes.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = int(max(8, min(1 << 20, 3.2 * total / BUCKET)))
+    n_parts = int(max(8, 3.2 * total / BUCKET))
     docs = docs.select("doc_key", "text")
     # minimisers that very many super-k-mers share, by the cells of their hashes; most cells hold like numbers
-    n_cells = 4 * n_parts
+    n_cells = 4 * min(n_parts, MOST_CELLS // 4)
     cells = docs.mapInArrow(_cells(n_cells, window, m), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = cut(cells, "cells")
     mean = (cells.agg(F.sum("n")).first()[0] or 0) / n_cells
-    hot = [r["cell"] for r in cells.where(F.col("n") > 4 * max(mean, LEAST_HOT)).select("cell").collect()]  # a quarter of the cells at most
+    hot = [r["cell"] for r in cells.where(F.col("n") > 4 * max(mean, LEAST_HOT)).select("cell").collect()]  # fewer than a quarter of the cells
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
-    sent = docs.mapInArrow(_places(n_parts, n_cells, hot, window, m), "part int, blob binary")
-    dealt = sent.repartition(max(1, n_parts), "part").sortWithinPartitions("part")
+    sent = docs.mapInArrow(_places(n_parts, n_cells, hot, window, m), "part long, blob binary")
+    dealt = sent.repartition(max(8, n_parts // PER_TASK), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(_buckets(window), "doc_key long, first int, n int")
 
 
