@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .common import batches, components, cut, table
 
-#: Vectors of a tile, and bytes of vectors of a group of tiles: two groups meet in a task, one of them held as a whole.
-TILE, GROUP_BYTES = 2048, 16 << 20
+#: Vectors of a tile, bytes of vectors of a group of tiles at most, and groups that smaller tables are cut into so that
+#: there is work for all cores. Two groups meet in a task, one of them held as a whole; a vector is sent once for each group.
+TILE, GROUP_BYTES, LEAST_GROUPS = 2048, 64 << 20, 8
+
+#: Rows of a tile that are compared at a time: their bounds stay in a core's own cache.
+ROWS = 128
 
 #: Components of the first and second pass, and of a tile's box.
 LEAD, MORE, BOX = 24, 48, 8
@@ -77,6 +81,7 @@ class Tile:
         self.low, self.high = z[:, :BOX].min(0), z[:, :BOX].max(0)
         rest = [np.sqrt(np.maximum(0, (z[:, k:] ** 2).sum(1, keepdims=True))) for k in (LEAD, MORE)]
         self.lead = np.hstack([z[:, :LEAD], rest[0]]).astype(np.float32)
+        self.lead_t = np.ascontiguousarray(self.lead.T)
         self.more = np.hstack([z[:, LEAD:MORE], rest[1]]).astype(np.float32)
 
     def __len__(self) -> int:
@@ -88,10 +93,18 @@ def _pair_links(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndar
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     if (np.maximum(0, np.maximum(a.low - b.high, b.low - a.high)) ** 2).sum() > 2 - 2 * threshold + 1e-9:
         return found[0]  # unit vectors with cosine c are sqrt(2 - 2c) apart
-    for at in range(0, len(a), 512):
+    width = -(-len(b) // 8) * 8
+    bound, over = np.empty((ROWS, len(b)), np.float32), np.zeros((ROWS, width), bool)
+    for at in range(0, len(a), ROWS):
+        n = min(ROWS, len(a) - at)
         # the last column adds the product of what is left of both norms, the most that the other components can give
-        bound = a.lead[at : at + 512] @ b.lead.T
-        i, j = np.divmod(np.flatnonzero(bound.ravel() >= threshold - SLACK), len(b))
+        np.matmul(a.lead[at : at + n], b.lead_t, out=bound[:n])
+        np.greater_equal(bound[:n], np.float32(threshold - SLACK), out=over[:n, : len(b)])
+        eights = np.flatnonzero(over[:n].view(np.uint64).ravel() != 0)  # few pairs are left: look at eight at a time
+        if not len(eights):
+            continue
+        which, k = np.nonzero(over[:n].reshape(-1, 8)[eights])
+        i, j = np.divmod(eights[which] * 8 + k, width)
         i += at
         if a is b:
             on = i < j
@@ -204,7 +217,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     for part, n in sizes:
         starts.append((part, total))
         total += n
-    n_groups = max(1, -(-total // most))
+    cores = spark.sparkContext.defaultParallelism
+    n_groups = max(1, -(-total // most), min(LEAST_GROUPS, int((4 * cores) ** 0.5), total // (2 * TILE)))
     per_group = -(-total // n_groups)
     starts = spark.createDataFrame(starts, "__part int, start long")
     before = F.col("start") + F.col("seq").cast("long") * TILE
