@@ -80,10 +80,10 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """df in partitions of about FILE_BYTES by Spark's own estimate of its size, without a shuffle, for tables that are
-    written next; never in fewer than two for each core, nor in more than it has."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def compact(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """df in partitions of about FILE_BYTES by Spark's own estimate of its size, or of a table of like size, without a
+    shuffle, for tables that are written next; never in fewer than two for each core, nor in more than it has."""
+    size = int(str((like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES), 1 << 30))
 
 
