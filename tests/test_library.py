@@ -252,6 +252,17 @@ def test_decoders(spark):
     assert best[1] in ("b", "a", "a c c c c c") and {"b"} <= set(best.values())
 
 
+def test_decoders_by_context(spark):
+    """Each input meets the distributions of its own context; a null context is one of its own."""
+    texts = spark.createDataFrame([("x", ["a", "b"]), ("x", ["a", "b"]), ("y", ["a", "c"]), (None, ["a", "d"]), ("y", [])], "ctx string, w array<string>")
+    inputs = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "z")], "id long, ctx string").withColumn("first", F.lit("a"))
+    by = decode.bigram_scorer(texts, "w", "ctx").unionByName(spark.createDataFrame([(None, "a", "d", 1.0)], "ctx string, prev string, next string, prob double"))
+    assert dict(decode.greedy(inputs, "id", by, 5, "first", "ctx").select("id", "words").collect()) == {1: "b", 2: "c", 3: "d", 4: ""}
+    best = decode.beam(inputs, "id", by, 2, 5, "first", "ctx").where("place = 1").select("id", "words")
+    assert dict(best.collect()) == {1: "b", 2: "c", 3: "d", 4: ""}
+    assert dict(decode.greedy(inputs, "id", decode.bigram_scorer(texts, "w"), 5, "first").select("id", "words").collect()) == {i: "b" for i in (1, 2, 3, 4)}
+
+
 def beam_brute(first, probs, width=3, most=12):
     live, done, k, shrinks = [(first, [], 0.0)], [], width, False
     for _ in range(most):

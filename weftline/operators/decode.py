@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.functions.text import END, START, wrapped
+from weftline.functions.text import END, START
 from weftline.plans.lineage import materialise
 
 
-def bigram_scorer(texts: DataFrame, words: str) -> DataFrame:
-    """(prev, next, prob): relative frequencies of the words that follow each word, start and end token included.
+def bigram_scorer(texts: DataFrame, words: str, context: str | None = None) -> DataFrame:
+    """(prev, next, prob): relative frequencies of the words that follow each word, start and end token included; with a
+    context column, (context, prev, next, prob), a distribution for each context.
 
-    It stands in for a neural decoder behind the same interface: a table of distributions over next words.
+    It stands in for a neural decoder behind the same interface: a table of distributions over next words, given what
+    is known of the input.
     """
-    w = wrapped(F.col(words))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i).alias("prev"), F.element_at(w, i + 1).alias("next")))
-    counts = texts.select(F.explode(pairs).alias("x")).groupBy("x.prev", "x.next").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("prev").agg(F.sum("n").alias("t"))
-    return counts.join(totals, "prev").select("prev", "next", (F.col("n") / F.col("t")).alias("prob"))
+    given = [context] if context else []
+    before, after = F.concat(F.array(F.lit(START)), F.col(words)), F.concat(F.col(words), F.array(F.lit(END)))
+    pairs = F.zip_with(before, after, lambda a, b: F.struct(a.alias("prev"), b.alias("next")))
+    counts = texts.select(*given, F.explode_outer(pairs).alias("x")).groupBy(*given, "x.prev", "x.next").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*given, "prev").agg(F.sum("n").alias("t"))
+    return counts.join(totals, [*given, "prev"]).select(*given, "prev", "next", (F.col("n") / F.col("t")).alias("prob"))
 
 
-def greedy(inputs: DataFrame, key: str, scorer: DataFrame, most: int = 20, start: str | None = None) -> DataFrame:
+def _given(context: str | None) -> tuple[list[str], list[Column], Column]:
+    """Columns of the context on the side of the inputs and of the scorer, and how the two meet."""
+    met = F.col("last") == F.col("prev")
+    if not context:
+        return [], [], met
+    return [context], [F.col(context).alias("__given")], met & F.col(context).eqNullSafe(F.col("__given"))
+
+
+def greedy(inputs: DataFrame, key: str, scorer: DataFrame, most: int = 20, start: str | None = None, context: str | None = None) -> DataFrame:
     """(key, words, n): the most probable next word, again and again, until the end token or `most` words.
 
-    Ties take the smaller word; a word that the table lacks ends its row. start names a column with the word to begin after, else it is the start token. Rows
-    keep their key, so that the order in which they finish does not matter. Every fifth step is a table, after which only rows that go on are joined again.
+    Ties take the smaller word; a word that the table lacks ends its row. start names a column with the word to begin after, else it is the start token; context
+    one that inputs and scorer share, by which each row meets its own distributions. Rows keep their key, so that the order in which they finish does not matter. Every fifth step is a table, after which only rows that go on are joined again.
     """
-    best = materialise(scorer.groupBy("prev").agg(F.min(F.struct((-F.col("prob")).alias("p"), "next")).alias("b")).select("prev", F.col("b.next").alias("next")))
+    given, theirs, met = _given(context)
+    best = scorer.groupBy(*([context] if context else []), "prev").agg(F.min(F.struct((-F.col("prob")).alias("p"), "next")).alias("b"))
+    best = materialise(best.select(*theirs, "prev", F.col("b.next").alias("next")))
     first = F.coalesce(F.col(start), F.lit(START)) if start else F.lit(START)
-    active = inputs.select(key, first.alias("last"), F.array().cast("array<string>").alias("words"))
+    active = inputs.select(key, *given, first.alias("last"), F.array().cast("array<string>").alias("words"))
     done: list[DataFrame] = []
     for step in range(1, most + 1):
-        grown = active.join(best, F.col("last") == F.col("prev"), "left").select(key, F.coalesce("next", F.lit(END)).alias("last"), "words")
+        grown = active.join(best, met, "left").select(key, *given, F.coalesce("next", F.lit(END)).alias("last"), "words")
         active = grown.withColumn("words", F.when(F.col("last") == END, F.col("words")).otherwise(F.concat("words", F.array("last"))))
         if step % 5 == 0 or step == most:  # rows that have ended ride along until the next table; END leads nowhere
             table = materialise(active)
@@ -45,29 +58,31 @@ def greedy(inputs: DataFrame, key: str, scorer: DataFrame, most: int = 20, start
     return out.select(key, F.array_join("words", " ").alias("words"), F.size("words").alias("n"))
 
 
-def beam(inputs: DataFrame, key: str, scorer: DataFrame, width: int = 3, most: int = 12, start: str | None = None) -> DataFrame:
+def beam(inputs: DataFrame, key: str, scorer: DataFrame, width: int = 3, most: int = 12, start: str | None = None, context: str | None = None) -> DataFrame:
     """(key, place, words, score): hypotheses by falling log probability per word, the best first.
 
     Each step extends every live hypothesis by its `width` most probable words and keeps the best of all. A
     hypothesis that takes the end token is finished. As soon as the end token has been the best word of some
     hypothesis of an input, its beam loses one place with every later step (kept from the original decoder). start
-    names a column with the word to begin after, else it is the start token. After a word that the table lacks the
+    names a column with the word to begin after, else it is the start token, context one that inputs and scorer share, by
+    which each row meets its own distributions. After a word that the table lacks the
     end token is certain, so that every input has hypotheses. Log probabilities are rounded to nine digits, so that
     hypotheses of equal probability tie whatever the order of their words; ties take the smaller words.
     """
-    by_prev = Window.partitionBy("prev").orderBy(F.desc("prob"), "next")
-    top = materialise(scorer.withColumn("r", F.row_number().over(by_prev)).where(F.col("r") <= width).select("prev", "next", F.round(F.ln("prob"), 9).alias("lp"), "r"))
+    given, theirs, met = _given(context)
+    by_prev = Window.partitionBy(*([context] if context else []), "prev").orderBy(F.desc("prob"), "next")
+    top = materialise(scorer.withColumn("r", F.row_number().over(by_prev)).where(F.col("r") <= width).select(*theirs, "prev", "next", F.round(F.ln("prob"), 9).alias("lp"), "r"))
     first = F.coalesce(F.col(start), F.lit(START)) if start else F.lit(START)
-    live = inputs.select(key, first.alias("last"), F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("score"), F.lit(width).alias("k"), F.lit(False).alias("shrinks"))
+    live = inputs.select(key, *given, first.alias("last"), F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("score"), F.lit(width).alias("k"), F.lit(False).alias("shrinks"))
     finished: list[DataFrame] = []
     for _ in range(most):
-        grown = live.join(top, F.col("last") == F.col("prev"), "left").withColumn("score", F.round(F.col("score") + F.coalesce("lp", F.lit(0.0)), 9))
+        grown = live.join(top, met, "left").withColumn("score", F.round(F.col("score") + F.coalesce("lp", F.lit(0.0)), 9))
         grown = grown.withColumn("next", F.coalesce("next", F.lit(END))).withColumn("r", F.coalesce("r", F.lit(1)))
         ended = F.max(((F.col("r") == 1) & (F.col("next") == END)).cast("int")).over(Window.partitionBy(key)) == 1
         grown = grown.withColumn("shrinks", F.col("shrinks") | ended)
         place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.array_join(F.concat("words", F.array("next")), " ")))
         grown = grown.withColumn("place", place).where(F.col("place") <= F.col("k"))
-        grown = materialise(grown.select(key, F.col("next").alias("last"), "words", "score", (F.col("k") - F.col("shrinks").cast("int")).alias("k"), "shrinks"))
+        grown = materialise(grown.select(key, *given, F.col("next").alias("last"), "words", "score", (F.col("k") - F.col("shrinks").cast("int")).alias("k"), "shrinks"))
         finished.append(grown.where(F.col("last") == END).select(key, "words", (F.col("score") / (F.size("words") + 1)).alias("score")))
         live = grown.where((F.col("last") != END) & (F.col("k") > 0)).withColumn("words", F.concat("words", F.array("last")))
         if live.isEmpty():

@@ -314,6 +314,25 @@ def greedy_decode(spark: SparkSession, d: str) -> DataFrame:
     return decode.greedy(inputs, "pair_id", decode.bigram_scorer(_words(spark, d), "w"), 20, "first")
 
 
+@R.add("greedy_by_language", f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(lang, '') AS lang, {sql.tokens('text')} AS t FROM documents),
+texts AS (SELECT lang, list_concat(list_concat(['startseq'], t), ['endseq']) AS w FROM docs),
+bi AS (SELECT lang, w[i] AS prev, w[i + 1] AS nxt, count(*) AS n FROM texts, unnest(range(1, len(w))) g(i) GROUP BY ALL),
+best AS (SELECT lang, prev, nxt FROM bi QUALIFY row_number() OVER (PARTITION BY lang, prev ORDER BY n DESC, nxt) = 1),
+run AS (
+  SELECT doc_id, lang, coalesce(t[1], 'startseq') AS last, []::VARCHAR[] AS words, 0 AS step FROM docs
+  UNION ALL
+  SELECT doc_id, run.lang, coalesce(nxt, 'endseq'), CASE WHEN coalesce(nxt, 'endseq') = 'endseq' THEN words ELSE list_append(words, nxt) END, step + 1
+  FROM run LEFT JOIN best ON last = prev AND run.lang = best.lang WHERE last <> 'endseq' AND step < 10
+)
+SELECT doc_id, array_to_string(words, ' ') AS words, len(words)::INT AS n FROM run WHERE last = 'endseq' OR step = 10""")
+def greedy_by_language(spark: SparkSession, d: str) -> DataFrame:
+    """A continuation of each document's first word, by the bigrams of its own language's documents."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), T.tokens(F.col("text")).alias("t"))
+    inputs = docs.select("doc_id", "lang", F.get("t", F.lit(0)).alias("first"))
+    return decode.greedy(inputs, "doc_id", decode.bigram_scorer(docs, "t", "lang"), 10, "first", "lang")
+
+
 @R.add("beam_search", f"""
 WITH RECURSIVE texts AS (SELECT list_concat(list_concat(['startseq'], {sql.tokens('text')}), ['endseq']) AS w FROM conversations WHERE role = 'assistant'),
 bi AS (SELECT w[i] AS prev, w[i + 1] AS nxt, count(*) AS n FROM texts, unnest(range(1, len(w))) g(i) GROUP BY ALL),

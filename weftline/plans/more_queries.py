@@ -9,7 +9,7 @@ from weftline.operators import corpus, vocab
 from weftline.plans import join_queries, sql
 from weftline.plans.lineage import materialise, md5_order, number_rows
 from weftline.plans.registry import Registry
-from weftline.sources.tables import table, write
+from weftline.sources.tables import good_and_bad, items, table, write
 
 R = Registry()
 
@@ -179,3 +179,18 @@ def parked_failures(spark: SparkSession, d: str) -> DataFrame:
     """All rows, those that do not parse parked beside the others with their text; every fifth one is broken here."""
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props")).alias("props"))
     return rows.withColumn("parked", F.from_json("props", "map<string,string>").isNull())
+
+
+@R.add("items_scan", """
+SELECT 'https://shop/' || item_id AS url, text AS description, 'shop' AS shop, 'kind=' || item_id % 3 AS gender, 'id=' || item_id AS category
+FROM benchmark WHERE item_id % 7 <> 0 AND text <> ''""")
+def items_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Item files in folders below ANNOS, one item each, read back; every seventh file is broken and goes to the side output."""
+    item = F.to_json(F.struct(F.concat(F.lit("https://shop/"), F.col("item_id").cast("string")).alias("url"), F.col("text").alias("description")))
+    rows = table(spark, d, "benchmark").select(
+        F.when(F.col("item_id") % 7 == 0, F.lit("{broken")).otherwise(item).alias("value"), (F.col("item_id") % 3).alias("kind"), F.col("item_id").alias("id"),
+    )
+    root = materialise(spark.range(1)).inputFiles()[0].rpartition("/")[0] + "-items"
+    rows.write.partitionBy("kind", "id").text(f"{root}/shop/ANNOS")
+    good, _ = good_and_bad(items(spark, root))
+    return good.select("url", "description", "shop", "gender", "category")
