@@ -23,6 +23,9 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
+#: Ids, and bytes of them as text, that are broadcast.
+MOST_IDS, MOST_ID_BYTES = 1_000_000, 16 << 20
+
 #: Bytes of a partition that compact() aims at.
 FILE_BYTES = 64 << 20
 
@@ -80,10 +83,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def compact(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """df in partitions of about FILE_BYTES by Spark's own estimate of its size, or of a table of like size, without a
-    shuffle, for tables that are written next; never in fewer than two for each core, nor in more than it has."""
-    size = int(str((like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids (its first column), marked for broadcast if it is counted to be small; beyond that as it is,
+    so that Spark shuffles it and what it is joined with."""
+    n, size = ids.agg(F.count("*"), F.sum(F.octet_length(F.col(ids.columns[0]).cast("string")))).first()
+    return F.broadcast(ids) if n <= MOST_IDS and (size or 0) <= MOST_ID_BYTES else ids
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """df in partitions of about FILE_BYTES by Spark's own estimate of its size, without a shuffle, for tables that are
+    written next; never in fewer than two for each core, nor in more than it has."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES), 1 << 30))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BLANKS, cut, row_key, sha256_text, table, text_of
+from .common import BLANKS, cut, row_key, sha256_text, small, table, text_of
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX = 64
@@ -43,7 +43,7 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     Spark either broadcasts them, by their size, or joins two plain shuffles, where adaptive execution splits a hot key.
     """
     full = docs.select("doc_id", F.length(text_of()).alias("cp"), text_of().alias("text"))
-    full = full.join(_candidates(docs, prefix), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    full = full.join(small(cut(_candidates(docs, prefix), "candidates")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     hashed = cut(full.select("doc_id", "cp", F.unhex(sha256_text(normalised())).alias("fh")), "hashed")
     first = F.min(F.struct((-F.col("cp")).alias("x"), F.col("doc_id").alias("id")))
     groups = hashed.groupBy("fh").agg(F.count("*").alias("group_size"), first.alias("k")).where("group_size > 1")
@@ -80,7 +80,7 @@ def drop_exact_copies(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         groups = cut(exact_groups(docs, prefix), "groups")
         gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"))
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+        return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     ids = cut(_candidates(docs, prefix), "candidates")
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
     marked = docs.withColumns({"__row": row_key(docs), "__cp": F.length(text_of()), "__sha": F.unhex(sha256_text(normalised()))}).join(ids, same, "left_semi")

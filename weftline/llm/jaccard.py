@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import components, cut, row_key, table, text_of
+from .common import components, cut, row_key, small, table, text_of
 from .substrings import Hashes, run_hashes, words_of
 
 #: Words of a shingle and least similarity of a link.
@@ -33,8 +33,8 @@ BAND, LOSS = 0.02, 0.02
 #: Shingles and documents of a block; a node's blocks are compared two at a time.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
 
-#: Cells of a matrix block in the comparison; ids, and bytes of ids, that are broadcast.
-CELLS, MOST_IDS, MOST_ID_BYTES = 4 << 20, 1_000_000, 16 << 20
+#: Cells of a matrix block in the comparison.
+CELLS = 4 << 20
 
 _RANDOM = np.random.default_rng(20)
 _A = _RANDOM.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -298,10 +298,8 @@ def _near_classes(docs: DataFrame, threshold: float, recall: float = RECALL, lea
     survivors = cut(classes.join(met, "ck", "left_semi"), "survivors")
 
     rows = docs.select("doc_id", text_of().alias("text"))
-    ids = survivors.select(F.col("first_id").alias("__id")).distinct()
-    n, size = survivors.agg(F.count("*"), F.sum(F.octet_length(F.col("first_id").cast("string")))).first()
-    few = n <= MOST_IDS and (size or 0) <= MOST_ID_BYTES
-    chosen = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left_semi").select("text")
+    ids = small(survivors.select(F.col("first_id").alias("__id")))
+    chosen = rows.join(ids, F.col("doc_id") == F.col("__id"), "left_semi").select("text")
     sets = chosen.mapInArrow(_sets, "ck binary, sh binary")
     if not docs.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         sets = sets.dropDuplicates(["ck"])
@@ -357,7 +355,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     found = cut(_near_classes(docs, threshold), "near")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         gone = found.where("NOT kept").select(F.col("doc_id").alias("__id"))
-        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+        return docs.join(small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
     of = found.where("part is not null").select(F.col("doc_id").alias("__id"), F.col("ck").alias("__ck"), F.col("part").alias("__part"), F.col("kept").alias("__kept")).distinct()
     keyed = docs.withColumn("__row", row_key(docs))
     keyed = keyed.mapInArrow(_with_key, T.StructType([*keyed.schema, T.StructField("__key", T.BinaryType())]))
