@@ -27,17 +27,19 @@ PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.fi
 MOST_IDS, MOST_ID_BYTES = 1_000_000, 16 << 20
 
 #: Bytes of a partition that compact() aims at.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 
 
-#: Bytes of whole texts that go to Python at a time. Spark's own limit, 64 MB, is held several times over by each task.
-BATCH_BYTES = 4 << 20
+#: Bytes of whole texts that go to Python at a time, and rows of them that a Parquet reader holds. Spark's own limits, 64 MB
+#: and 4,096 rows, are held several times over by each task.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the queries and the pipeline. Lowers the session's limit of Arrow batches, which Spark has no option
-    for that would hold for one plan alone."""
+    """A table of the queries and the pipeline. Lowers the session's limits of batches, which Spark has no options for
+    that would hold for one plan alone."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -92,9 +94,9 @@ def small(ids: DataFrame) -> DataFrame:
 
 def compact(df: DataFrame) -> DataFrame:
     """df in partitions of about FILE_BYTES by Spark's own estimate of its size, without a shuffle, for tables that are
-    written next; never in fewer than two for each core, nor in more than it has."""
+    written next; never in fewer than four for each core, nor in more than it has."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES), 1 << 30))
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES), 1 << 30))
 
 
 def drop_table(df: DataFrame) -> None:

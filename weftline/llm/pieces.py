@@ -24,7 +24,7 @@ from .common import sha256_text, table
 
 #: Bytes of one generation of a worker's table, what an entry takes beside its chunk and ids, and the characters from
 #: which a chunk is segmented anew each time.
-TABLE_BYTES, ENTRY_BYTES, LONG = 48 << 20, 190, 256
+TABLE_BYTES, ENTRY_BYTES, LONG = 16 << 20, 190, 256
 
 #: Chunks of a text that are looked up at a time.
 PART = 100_000

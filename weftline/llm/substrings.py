@@ -34,7 +34,7 @@ GATHER, BUCKET, PER_TASK = 24 << 20, 10 << 20, 2
 LEAST_HOT, MOST_CELLS = 500, 1 << 22
 
 #: Distinct words whose hashes a worker keeps.
-CACHE = 250_000
+CACHE = 100_000
 
 _SPLIT = re.compile(BLANK_CLASS + "+")
 _OTHER = re.compile(r"[^\S\x20\x09-\x0D]")

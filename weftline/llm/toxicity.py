@@ -36,7 +36,7 @@ WINDOW = 50
 NEAR = 5
 
 #: Word forms that a worker keeps, and the length from which one is worked out anew each time.
-CACHE, LONG = 100_000, 64
+CACHE, LONG = 60_000, 64
 
 _EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 _REPEAT = re.compile(r"(.)\1{2,}")
