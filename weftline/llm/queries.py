@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, language, mixing, pieces, pii, sharding, substrings, toxicity, vectors
+from . import exact_dedup, fingerprints, infill, jaccard, language, mixing, periodic, pieces, pii, sharding, substrings, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": sharding.op8_shards,
     "op9_near_vectors": vectors.op9_near_vectors,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 #: None: SQL cannot express the query, tests hold it against a brute-force version.
@@ -26,4 +29,5 @@ SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op8_shards": sharding.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op13_fill_in_middle": infill.SQL,
 }
