@@ -31,3 +31,11 @@ def position_mean(v: Column, width: int, digits: int | None = None) -> Column:
         return F.round(total / n, digits) if digits is not None else total / n
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at))
+
+
+def hashed_bag(words: Column, width: int) -> Column:
+    """Counts of the words of a list by hash modulo width, scaled to length 1; zeros for an empty list."""
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
+    count = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    norm = F.sqrt(F.aggregate(count, F.lit(0.0), lambda a, c: a + c * c))
+    return F.transform(count, lambda c: F.when(norm > 0, c / norm).otherwise(0.0))

@@ -21,9 +21,8 @@ def _forget(spark: SparkSession, folder: str) -> None:
             shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir, which all executors share, and read it back."""
-    spark = df.sparkSession
+def working_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share. It goes when the driver exits."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -34,9 +33,14 @@ def materialise(df: DataFrame) -> DataFrame:
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_forget, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df below spark.checkpoint.dir, which all executors share, and read it back."""
+    path = working_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, *order: str, name: str = "n") -> DataFrame:

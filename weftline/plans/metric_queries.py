@@ -15,7 +15,7 @@ from weftline.streaming import seen
 R = Registry()
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def pairs(spark: SparkSession, d: str) -> DataFrame:
     talk = table(spark, d, "conversations")
     user = talk.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref_text"))
     answer = talk.where("role = 'assistant'").select(F.col("conv_id").alias("c"), (F.col("turn") - 1).alias("t"), F.col("text").alias("pred_text"))
@@ -29,7 +29,7 @@ def _combined(spark: SparkSession, d: str) -> DataFrame:
     words = T.tokens(F.col("text"))
     own = F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pair_id")
     more = table(spark, d, "benchmark").select(own, F.col("text").alias("ref_text"), F.col("text").alias("pred_text"), words.alias("ref"), words.alias("pred"))
-    return _pairs(spark, d).unionByName(more)
+    return pairs(spark, d).unionByName(more)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -82,7 +82,7 @@ def max_len(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("bleu_components", f"WITH {sql.GRAMS} SELECT n, sum(clip)::BIGINT AS clip, sum(pred_total)::BIGINT AS total FROM overlap GROUP BY n")
 def bleu_components(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.bleu_components(_pairs(spark, d), "pair_id", "ref", "pred")
+    return metrics.bleu_components(pairs(spark, d), "pair_id", "ref", "pred")
 
 
 _BLEU = """,
@@ -98,7 +98,7 @@ SELECT round(max(v) FILTER (k = 1), 6) AS bleu_1, round(max(v) FILTER (k = 2), 6
 
 @R.add("bleu_corpus", f"WITH {sql.GRAMS}{_BLEU}")
 def bleu_corpus(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.bleu(_pairs(spark, d), "pair_id", "ref", "pred")
+    out = metrics.bleu(pairs(spark, d), "pair_id", "ref", "pred")
     return _rounded(out, *out.columns)
 
 
@@ -115,7 +115,7 @@ s AS (SELECT n, CASE WHEN pred_total > 0 THEN clip / pred_total ELSE 0 END AS p,
 SELECT n, round(sum(p) / (SELECT count(*) FROM tok), 6) AS p, round(sum(r) / (SELECT count(*) FROM tok), 6) AS r,
        round(sum(CASE WHEN p + r > 0 THEN p * r / (0.5 * p + 0.5 * r) ELSE 0 END) / (SELECT count(*) FROM tok), 6) AS f FROM s GROUP BY n""")
 def rouge_n(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.rouge_n(_pairs(spark, d), "pair_id", "ref", "pred"), "p", "r", "f")
+    return _rounded(metrics.rouge_n(pairs(spark, d), "pair_id", "ref", "pred"), "p", "r", "f")
 
 
 def _lcs_sql(weight: float) -> str:
@@ -143,12 +143,12 @@ SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 TH
 
 @R.add("rouge_l", _lcs_sql(1.0))
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.rouge_lcs(_pairs(spark, d), "pair_id", "ref", "pred", stemmed=False), "p", "r", "f")
+    return _rounded(metrics.rouge_lcs(pairs(spark, d), "pair_id", "ref", "pred", stemmed=False), "p", "r", "f")
 
 
 @R.add("rouge_w", _lcs_sql(1.2))
 def rouge_w(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.rouge_lcs(_pairs(spark, d), "pair_id", "ref", "pred", weight=1.2, stemmed=False), "p", "r", "f")
+    return _rounded(metrics.rouge_lcs(pairs(spark, d), "pair_id", "ref", "pred", weight=1.2, stemmed=False), "p", "r", "f")
 
 
 def _several(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +253,7 @@ def _diversity(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
 
 @R.add("diversity_summary", _diversity_sql())
 def diversity_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _diversity(spark, d, _pairs(spark, d))
+    return _diversity(spark, d, pairs(spark, d))
 
 
 @R.add("diversity_combined", _diversity_sql("UNION ALL SELECT text, text FROM benchmark"))
@@ -310,7 +310,7 @@ run AS (
 SELECT pair_id, array_to_string(words, ' ') AS words, len(words)::INT AS n FROM run WHERE last = 'endseq' OR step = 20""")
 def greedy_decode(spark: SparkSession, d: str) -> DataFrame:
     """A continuation of each reference's first word, by the bigrams of the answers."""
-    inputs = _pairs(spark, d).select("pair_id", F.get("ref", F.lit(0)).alias("first"))
+    inputs = pairs(spark, d).select("pair_id", F.get("ref", F.lit(0)).alias("first"))
     return decode.greedy(inputs, "pair_id", decode.bigram_scorer(_words(spark, d), "w"), 20, "first")
 
 
@@ -359,7 +359,7 @@ ended AS (
 SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY s DESC, words)::INT AS place, words, round(s, 6) AS score FROM ended""")
 def beam_search(spark: SparkSession, d: str) -> DataFrame:
     """The best continuations of each reference's first word, by the bigrams of the answers."""
-    inputs = _pairs(spark, d).select("pair_id", F.get("ref", F.lit(0)).alias("first"))
+    inputs = pairs(spark, d).select("pair_id", F.get("ref", F.lit(0)).alias("first"))
     return _rounded(decode.beam(inputs, "pair_id", decode.bigram_scorer(_words(spark, d), "w"), start="first"), "score")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import join_queries, metric_queries, more_queries, text_queries
+from weftline.plans import join_queries, metric_queries, model_queries, more_queries, text_queries
 
-PARTS = (text_queries.R, join_queries.R, metric_queries.R, more_queries.R)
+PARTS = (text_queries.R, join_queries.R, metric_queries.R, more_queries.R, model_queries.R)
 QUERIES = {k: v for r in PARTS for k, v in r.queries.items()}
 SQL = {k: v for r in PARTS for k, v in r.sql.items()}
