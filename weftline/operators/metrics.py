@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from weftline.functions.stem import stem
 from weftline.functions.text import ngrams
+from weftline.plans.lineage import materialise
 
 ORDERS = (1, 2, 3, 4)
 
@@ -19,15 +20,20 @@ ORDERS = (1, 2, 3, 4)
 STEMS = 200_000
 
 
-def ngram_overlap(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """(key, n, clip, pred_total, ref_total) of pairs of token lists, for each n; a pair without n-grams has no row."""
+def ngram_counts(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """(key, n, g, hyp, ref): how often each n-gram stands in the prediction and in the reference of each pair."""
     def grams(words: str, is_pred: int) -> Column:
         one = lambda n: F.transform(ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(is_pred).alias("p")))
         return F.concat(*[one(n) for n in orders])
 
     # both sides in one pass over the pairs; the outer form keeps Spark from working the lists out twice for a filter
     both = pairs.select(key, F.explode_outer(F.concat(grams(reference, 0), grams(prediction, 1))).alias("x")).where("x is not null").select(key, "x.n", "x.g", "x.p")
-    per_gram = both.groupBy(key, "n", "g").agg(F.sum("p").alias("hyp"), F.sum(1 - F.col("p")).alias("ref"))
+    return both.groupBy(key, "n", "g").agg(F.sum("p").alias("hyp"), F.sum(1 - F.col("p")).alias("ref"))
+
+
+def ngram_overlap(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """(key, n, clip, pred_total, ref_total) of pairs of token lists, for each n; a pair without n-grams has no row."""
+    per_gram = ngram_counts(pairs, key, reference, prediction, orders)
     return per_gram.groupBy(key, "n").agg(F.sum(F.least("hyp", "ref")).alias("clip"), F.sum("hyp").alias("pred_total"), F.sum("ref").alias("ref_total"))
 
 
@@ -60,6 +66,38 @@ def bleu(pairs: DataFrame, key: str, reference: str, prediction: str) -> DataFra
     return row.select(*[score(n).alias(f"bleu_{n}") for n in ORDERS])
 
 
+#: Standard deviation, in words, of the penalty for a length that differs from the reference's in CIDEr-D.
+SIGMA = 6.0
+
+
+def cider(pairs: DataFrame, key: str, item: str, reference: str, prediction: str) -> DataFrame:
+    """(item, cider, cider_d): the consensus of an item's prediction with its references (Vedantam et al. 2015).
+
+    pairs has a row (unique key) for each reference of an item, with the item's prediction beside it. n-grams weigh
+    ln(items / items whose references hold them); an n-gram in none weighs as one in one. CIDEr is ten times the mean
+    over orders and references of the cosines of the weighted counts. CIDEr-D counts an n-gram of the prediction no
+    more often than its reference and shrinks with the squared difference of lengths. An order without weight on a
+    side has cosine 0, so an item without words scores 0. Document frequencies are a table that the n-grams join, of
+    any size; nothing but sums for each pair and order is gathered.
+    """
+    rows = materialise(pairs.select(F.col(key).alias("__key"), F.col(item).alias("__item"), F.col(reference).alias("__ref"), F.col(prediction).alias("__pred")))
+    grams = materialise(ngram_counts(rows, "__key", "__ref", "__pred"))
+    items = rows.agg(F.countDistinct(F.coalesce(F.col("__item").cast("string"), F.lit("\0")))).first()[0]
+    held = grams.where("ref > 0").join(rows.select("__key", "__item"), "__key").select("n", "g", "__item").distinct()
+    known = held.groupBy("n", "g").agg(F.count("*").alias("df"))
+    weighed = grams.join(known, ["n", "g"], "left").withColumn("w", F.pow(F.ln(F.lit(float(items)) / F.coalesce("df", F.lit(1))), 2))
+    hyp, ref, w = F.col("hyp"), F.col("ref"), F.col("w")
+    sums = weighed.groupBy("__key", "n").agg(
+        F.sum(hyp * ref * w).alias("dot"), F.sum(F.least(hyp, ref) * ref * w).alias("clip"), F.sqrt(F.sum(hyp * hyp * w)).alias("h"), F.sqrt(F.sum(ref * ref * w)).alias("r"),
+    )
+    norm = F.col("h") * F.col("r")
+    over = lambda top: F.coalesce(F.sum(F.when(norm > 0, F.col(top) / norm)), F.lit(0.0)) * 10 / len(ORDERS)
+    scores = sums.groupBy("__key").agg(over("dot").alias("c"), over("clip").alias("d"))
+    penalty = F.exp(-F.pow(F.size("__pred") - F.size("__ref"), 2) / (2 * SIGMA**2))
+    each = rows.join(scores, "__key", "left").select("__item", F.coalesce("c", F.lit(0.0)).alias("c"), (F.coalesce("d", F.lit(0.0)) * penalty).alias("d"))
+    return each.groupBy(F.col("__item").alias(item)).agg(F.avg("c").alias("cider"), F.avg("d").alias("cider_d"))
+
+
 def f_score(p: Column, r: Column, alpha: float = 0.5) -> Column:
     below = (1 - alpha) * p + alpha * r
     return F.when(below > 0, p * r / below).otherwise(0.0)

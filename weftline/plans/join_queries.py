@@ -196,26 +196,33 @@ def vocab_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("config_grid", """
-SELECT e AS embedding, x AS extractor, a AS architecture, o AS dropout, CASE a WHEN 'merge' THEN 15 WHEN 'brownlee' THEN 50 ELSE 30 END AS epochs,
+SELECT webshop, e AS embedding, x AS extractor, a AS architecture, o AS dropout, CASE a WHEN 'merge' THEN 15 WHEN 'brownlee' THEN 50 ELSE 30 END AS epochs,
        CASE a WHEN 'brownlee' THEN 8 ELSE 32 END AS batch_size
-FROM unnest(['glove', 'fasttext']) t(e), unnest(['incv3', 'resnet50', 'finetuned']) u(x), unnest(['merge', 'attention', 'parinject', 'brownlee']) v(a), unnest(['true', 'false']) w(o)
+FROM (SELECT DISTINCT source AS webshop FROM documents WHERE source IS NOT NULL), unnest(['glove', 'fasttext']) t(e), unnest(['incv3', 'resnet50', 'finetuned']) u(x),
+     unnest(['merge', 'attention', 'parinject', 'brownlee']) v(a), unnest(['true', 'false']) w(o)
 WHERE NOT (a = 'attention' AND o = 'true')""")
 def config_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The grid of fixed parameter lists: a product of constants, not of tables."""
+    """The grid of parameters for each shop that has documents."""
     # fixed values of the grid
     lists = {"embedding": ["glove", "fasttext"], "extractor": ["incv3", "resnet50", "finetuned"], "architecture": ["merge", "attention", "parinject", "brownlee"], "dropout": ["true", "false"]}
-    grid = spark.range(1).select(F.array(*map(F.lit, lists["embedding"])).alias("l")).select(F.explode("l").alias("embedding"))
-    for name in list(lists)[1:]:
+    grid = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("webshop")).distinct()
+    for name in lists:
         grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, lists[name]))))
     grid = grid.where("NOT (architecture = 'attention' AND dropout = 'true')")
     epochs = F.when(F.col("architecture") == "merge", 15).when(F.col("architecture") == "brownlee", 50).otherwise(30)
     return grid.withColumn("epochs", epochs).withColumn("batch_size", F.when(F.col("architecture") == "brownlee", 8).otherwise(32))
 
 
-@R.add("schedule_filter", "SELECT e::INT AS epoch FROM range(1, 51) t(e) WHERE (e - 1) % 4 = 0 OR e = 1 OR e = 50")
+@R.add("schedule_filter", """
+WITH s AS (SELECT event_type AS config, row_number() OVER (PARTITION BY event_type ORDER BY ts::DATE)::INT AS epoch, round(avg(value), 6) AS cur FROM events GROUP BY event_type, ts::DATE)
+SELECT config, epoch, cur FROM s QUALIFY (epoch - 1) % 4 = 0 OR epoch = 1 OR epoch = max(epoch) OVER (PARTITION BY config)""")
 def schedule_filter(spark: SparkSession, d: str) -> DataFrame:
-    epochs = spark.range(1, 51).select(F.col("id").cast("int").alias("epoch"))
-    return epochs.where(((F.col("epoch") - 1) % 4 == 0) | (F.col("epoch") == 1) | (F.col("epoch") == 50))
+    """The epochs of each series after which a training validates: every fourth, the first and the last."""
+    days = table(spark, d, "events").groupBy(F.col("event_type").alias("config"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("cur"))
+    by_config = Window.partitionBy("config")  # a row for each day
+    epochs = days.withColumn("epoch", F.row_number().over(by_config.orderBy("day"))).withColumn("last", F.max("epoch").over(by_config))
+    due = ((F.col("epoch") - 1) % 4 == 0) | (F.col("epoch") == 1) | (F.col("epoch") == F.col("last"))
+    return epochs.where(due).select("config", "epoch", "cur")
 
 
 @R.add("early_stop", """

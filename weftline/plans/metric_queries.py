@@ -102,6 +102,22 @@ def bleu_corpus(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out, *out.columns)
 
 
+@R.add("cider", f"""
+WITH {sql.GRAMS},
+df AS (SELECT n, g, count(*) AS df FROM per_gram WHERE ref > 0 GROUP BY ALL),
+w AS (SELECT pair_id, n, hyp, ref, pow(ln((SELECT count(*) FROM tok) / coalesce(df, 1)), 2) AS w FROM per_gram LEFT JOIN df USING (n, g)),
+s AS (
+  SELECT pair_id, n, sum(hyp * ref * w) AS dot, sum(least(hyp, ref) * ref * w) AS clip, sqrt(sum(hyp * hyp * w)) * sqrt(sum(ref * ref * w)) AS norm
+  FROM w GROUP BY ALL
+),
+c AS (SELECT pair_id, sum(CASE WHEN norm > 0 THEN dot / norm END) * 10 / 4 AS c, sum(CASE WHEN norm > 0 THEN clip / norm END) * 10 / 4 AS d FROM s GROUP BY ALL)
+SELECT pair_id, round(coalesce(c, 0), 6) AS cider, round(coalesce(d, 0) * exp(-pow(len(pred) - len(ref), 2) / 72.0), 6) AS cider_d
+FROM tok LEFT JOIN c USING (pair_id)""")
+def cider(spark: SparkSession, d: str) -> DataFrame:
+    """CIDEr and CIDEr-D of each answer with its question as the one reference."""
+    return _rounded(metrics.cider(pairs(spark, d), "pair_id", "pair_id", "ref", "pred"), "cider", "cider_d")
+
+
 @R.add("bleu_combined", "WITH " + sql.GRAMS.replace("FROM pairs)", "FROM pairs UNION ALL SELECT 'b' || item_id, " + sql.tokens("text") + ", " + sql.tokens("text") + " FROM benchmark)") + _BLEU)
 def bleu_combined(spark: SparkSession, d: str) -> DataFrame:
     """BLEU of the pairs of several sets together, not the mean of their scores."""

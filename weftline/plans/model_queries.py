@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
 from weftline.functions.vectors import hashed_bag
-from weftline.operators import captions, decode, metrics
+from weftline.operators import captions, classify, convolution, decode, metrics, store
 from weftline.operators.corpus import split_parts
 from weftline.operators.training import Plan, Trained
 from weftline.plans.lineage import materialise, working_folder
 from weftline.plans.metric_queries import pairs
+from weftline.plans import sql
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -94,3 +95,35 @@ def caption_attention(spark: SparkSession, d: str) -> DataFrame:
     found = captions.train_captioner(both, "doc_id", "features", "words", model, working_folder(spark), Plan(epochs=1, batches=6, rate=0.02))
     seen = captions.attention_weights(both, "doc_id", "features", "words", model, found.weights)
     return seen.select("doc_id", "place", "word", F.transform("seen", lambda x: F.round(x, 6)).alias("seen"))
+
+
+@R.add("classifier_accuracy")
+def classifier_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and right answers by part and model: a convolution over words beside a regression on hashed words."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", T.tokens(F.col("text"), 1, ()).alias("words"))
+    docs = materialise(split_parts(docs, "doc_id"))
+    learn = docs.where("part = 'TRAIN'")
+    model = convolution.text_convolution(learn, "words", "lang")
+    found = convolution.train_classifier(learn, "doc_id", "words", "lang", model, working_folder(spark), Plan(epochs=5, batches=6, rate=0.03))
+    by_words = convolution.classify(docs, "doc_id", "words", model, found.weights)
+    by_hash = classify.classify_texts(docs.drop("part"), "doc_id", "text", "lang").select("doc_id", "predicted")
+    said = by_words.select("doc_id", "predicted", F.lit("convolution").alias("model")).unionByName(by_hash.withColumn("model", F.lit("regression")))
+    known = docs.where("lang is not null").select("doc_id", "part", "lang").join(said, "doc_id")
+    return known.groupBy("model", "part").agg(F.count("*").alias("n"), F.sum((F.col("lang") == F.col("predicted")).cast("long")).alias("right"))
+
+
+@R.add("example_store", f"""
+WITH tok AS (SELECT doc_id, {sql.tokens('text')} AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM tok)
+SELECT doc_id, i::INT AS j, list_concat(list_transform(range(0, greatest(0, 4 - i)), lambda k: ''), w[greatest(1, i - 3):i]) AS prefix, w[i + 1] AS target, round(embedding[1]::DOUBLE, 6) AS first
+FROM x JOIN embeddings ON vec_id = doc_id""")
+def example_store(spark: SparkSession, d: str) -> DataFrame:
+    """Each word of a document with the four before it and the document's vector: a store of word pairs and one of
+    vectors, in the same buckets of doc_id, which the join reads as they are."""
+    docs = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    words = docs.where(F.size("w") > 1).select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("j"))
+    short = F.array_repeat(F.lit(""), F.greatest(F.lit(0), 4 - F.col("j")))
+    prefix = F.concat(short, F.slice("w", F.greatest(F.lit(1), F.col("j") - 3), F.least(F.lit(4), F.col("j"))))
+    words = store.bucketed(words.select("doc_id", "j", prefix.alias("prefix"), F.get("w", F.col("j")).alias("target")), "doc_id", 8)
+    vectors = store.bucketed(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", 8)
+    return words.join(vectors, "doc_id").select("doc_id", "j", "prefix", "target", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from weftline.functions import text as T, vectors as V
-from weftline.operators import corpus, vocab
+from weftline.functions import permute, text as T, vectors as V
+from weftline.operators import corpus, enrich, retry, vocab
 from weftline.plans import join_queries, sql
-from weftline.plans.lineage import materialise, md5_order, number_rows
+from weftline.plans.lineage import materialise, md5_order, number_rows, working_folder
 from weftline.plans.registry import Registry
-from weftline.sources.tables import good_and_bad, items, table, write
+from weftline.sources.tables import good_and_bad, items, read_parts, table, write, write_parts
 
 R = Registry()
 
@@ -118,13 +118,14 @@ def corpus_vocab_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("random_config", f"""
-SELECT embedding, extractor, architecture, dropout FROM ({join_queries.R.sql["config_grid"]})
-ORDER BY md5('7|' || embedding || extractor || architecture || dropout) LIMIT 1""")
+SELECT webshop, embedding, extractor, architecture, dropout FROM ({join_queries.R.sql["config_grid"]})
+QUALIFY row_number() OVER (PARTITION BY webshop ORDER BY md5('7|' || embedding || extractor || architecture || dropout)) = 1""")
 def random_config(spark: SparkSession, d: str) -> DataFrame:
-    """One configuration of the grid at random, the same for a seed."""
-    names = ("embedding", "extractor", "architecture", "dropout")
-    grid = join_queries.config_grid(spark, d).select(*names).withColumn("k", F.concat(*names))
-    return corpus.sample_k(grid, "k", 1, 7).select(*names)
+    """One configuration of each shop's grid at random, the same for a seed."""
+    names = ("webshop", "embedding", "extractor", "architecture", "dropout")
+    grid = join_queries.config_grid(spark, d).select(*names)
+    order = F.min(F.struct(md5_order(7, F.concat(*names[1:])).alias("o"), *names[1:])).alias("c")
+    return grid.groupBy("webshop").agg(order).select("webshop", *[f"c.{n}" for n in names[1:]])
 
 
 @R.add("config_prefix", "SELECT substr(source, 1, 2) AS prefix, count(*) AS n FROM documents WHERE substr(source, 1, 2) <> 'MA' GROUP BY 1")
@@ -143,15 +144,16 @@ def position_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("crop_box", """
-SELECT event_id, [x, y, x + 10 + event_id % 50, y + 5 + event_id % 30] AS box, (10 + event_id % 50) * (5 + event_id % 30) AS area
-FROM (SELECT event_id, event_id % 7 AS x, event_id % 11 AS y FROM events)""")
+WITH cells AS (
+  SELECT vec_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE embedding[i] > 0.15::FLOAT
+)
+SELECT vec_id, [min(x), min(y), max(x) + 1, max(y) + 1] AS box, (max(x) + 1 - min(x)) * (max(y) + 1 - min(y)) AS area FROM cells GROUP BY vec_id""")
 def crop_box(spark: SparkSession, d: str) -> DataFrame:
-    """The corners (x_min, y_min, x_max, y_max) of a detection's coordinates, and the area that they cut out."""
-    e = F.col("event_id")
-    at = F.struct((e % 7).alias("x_min"), (e % 11).alias("y_min"), (e % 7 + 10 + e % 50).alias("x_max"), (e % 11 + 5 + e % 30).alias("y_max"))
-    box = F.array(*[F.col(f"at.{c}") for c in ("x_min", "y_min", "x_max", "y_max")])
-    area = (F.col("at.x_max") - F.col("at.x_min")) * (F.col("at.y_max") - F.col("at.y_min"))
-    return table(spark, d, "events").select("event_id", at.alias("at")).select("event_id", box.alias("box"), area.alias("area"))
+    """The corners (x_min, y_min, x_max, y_max) that cut out all strong cells of a vector, read as a grid eight wide, and the area."""
+    cell = F.posexplode(F.filter(F.transform("embedding", lambda v, i: F.struct((i % 8).cast("long").alias("x"), F.floor(i / 8).alias("y"), v.alias("v"))), lambda c: c["v"] > F.lit(0.15).cast("float")))
+    cells = table(spark, d, "embeddings").select("vec_id", cell.alias("n", "c"))
+    at = cells.groupBy("vec_id").agg(F.min("c.x").alias("x0"), F.min("c.y").alias("y0"), (F.max("c.x") + 1).alias("x1"), (F.max("c.y") + 1).alias("y1"))
+    return at.select("vec_id", F.array("x0", "y0", "x1", "y1").alias("box"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
 
 
 @R.add("best_step", """
@@ -173,24 +175,95 @@ def best_step(spark: SparkSession, d: str) -> DataFrame:
     return best.select("config", (-F.col("b.s")).alias("best_step"), F.col("b.cur").alias("best"))
 
 
-@R.add("parked_failures", """
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN substr(props, 2) ELSE props END AS props, event_id % 5 = 0 AS parked FROM events""")
+_ARTICLE = "strpos(html, '<article>')"
+
+
+@R.add("parked_failures", f"""
+SELECT page_id, CASE WHEN whole THEN 1 WHEN begun THEN 2 END AS attempt, length(article) AS n, NOT begun AS parked
+FROM (
+  SELECT page_id, begun, whole, CASE WHEN begun THEN substr(html, a + 9, CASE WHEN whole THEN z - a - 9 ELSE length(html) END) END AS article
+  FROM (SELECT *, a > 0 AS begun, a > 0 AND z > a AS whole FROM (SELECT page_id, html, {_ARTICLE} AS a, strpos(html, '</article>') AS z FROM pages))
+)""")
 def parked_failures(spark: SparkSession, d: str) -> DataFrame:
-    """All rows, those that do not parse parked beside the others with their text; every fifth one is broken here."""
-    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props")).alias("props"))
-    return rows.withColumn("parked", F.from_json("props", "map<string,string>").isNull())
+    """The article of each page: whole at the first attempt, up to the page's end where it breaks off at the second;
+    pages without one are parked."""
+    begun, ended = F.instr("html", "<article>"), F.instr("html", "</article>")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        good = (begun > 0) & (ended > begun)
+        text = F.substring("html", begun + 9, ended - begun - 9)
+        return rows.withColumn("result", F.when(good, text)).withColumn("error", F.when(~good, "the article does not end"))
+
+    def to_the_end(rows: DataFrame) -> DataFrame:
+        text = F.substring("html", begun + 9, F.length("html"))
+        return rows.withColumn("result", F.when(begun > 0, text)).withColumn("error", F.when(begun == 0, "no article"))
+
+    done, parked = retry.with_retries(table(spark, d, "pages").select("page_id", "html"), whole, to_the_end)
+    done = done.select("page_id", "attempt", F.length("result").cast("long").alias("n"), F.lit(False).alias("parked"))
+    return done.unionByName(parked.select("page_id", F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("long").alias("n"), F.lit(True).alias("parked")))
+
+
+@R.add("enriched_events", "SELECT event_id, event_type AS category, CASE WHEN month(ts) = 1 THEN 'first' ELSE 'second' END AS run, (props->>'k')::BIGINT AS k FROM events")
+def enriched_events(spark: SparkSession, d: str) -> DataFrame:
+    """What the properties of each event say, asked category by category in two runs; the second, over all events, asks
+    only about those that the first did not have."""
+    events = table(spark, d, "events")
+    ask = lambda rows: rows.withColumn("said", F.from_json("props", "k bigint"))
+    root = working_folder(spark)
+    for run, rows in (("first", events.where(F.month("ts") == 1)), ("second", events)):
+        enrich.enrich(rows, "event_id", "event_type", ask, F.col("said.k"), root, run)
+    found = enrich.enriched(spark, root, "event_id bigint, answer bigint")
+    return found.select("event_id", F.col("__category").alias("category"), F.col("__run").alias("run"), F.col("answer").alias("k"))
+
+
+@R.add("parts_pruned", f"""
+WITH {sql.SPLIT.strip()}, n AS (SELECT part, count(*) AS n FROM split GROUP BY part)
+SELECT doc_id, part, lang FROM split WHERE part IN (SELECT part FROM n WHERE n < (SELECT avg(n) FROM n))""")
+def parts_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the parts that are smaller than the mean, read from folders found by their names. The join prunes
+    the folders of the other parts when it runs."""
+    docs = corpus.split_parts(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    path = working_folder(spark)
+    write_parts(docs, path, "part")
+    laid_out = read_parts(spark, path)
+    sizes = materialise(laid_out.groupBy("part").agg(F.count("*").alias("n")))
+    wanted = sizes.where(F.col("n") < sizes.agg(F.avg("n")).first()[0]).select("part")
+    return laid_out.join(F.broadcast(wanted), "part").select("doc_id", "part", "lang")  # a row for each part
+
+
+@R.add("epoch_order", f"""
+WITH rows AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+keys AS (SELECT r, ('0x' || substr(md5('7|' || r), 1, 15))::BIGINT AS k FROM range({permute.ROUNDS}) t(r)),
+all_keys AS (SELECT list(k ORDER BY r) AS ks FROM keys)
+SELECT doc_id, place, place // 32 AS batch FROM (
+  SELECT doc_id, list_reduce(list_prepend(i, range({permute.ROUNDS})), lambda a, r: CASE
+    WHEN substr(md5('7|' || r || '|' || greatest(a, (ks[r + 1] % n - a + n) % n)), 1, 1) < '8' THEN (ks[r + 1] % n - a + n) % n ELSE a END) AS place
+  FROM rows, all_keys
+)""")
+def epoch_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place and batch of each document in an epoch's order, worked out of its row number without a sort."""
+    docs = number_rows(table(spark, d, "documents").select("doc_id"), "doc_id", name="i")
+    n = docs.count()
+    place = permute.permuted(F.col("i") - 1, n, 7) if n else F.col("i")
+    return docs.select("doc_id", place.alias("place")).withColumn("batch", F.floor(F.col("place") / 32))
 
 
 @R.add("items_scan", """
-SELECT 'https://shop/' || item_id AS url, text AS description, 'shop' AS shop, 'kind=' || item_id % 3 AS gender, 'id=' || item_id AS category
-FROM benchmark WHERE item_id % 7 <> 0 AND text <> ''""")
+SELECT 'https://shop/' || page_id AS url, substr(html, 1, strpos(html, '</title>') - 1) AS description, 'shop' AS shop, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'gender=' || page_id % 3 END AS gender,
+       CASE WHEN page_id % 3 = 0 THEN 'category=all' ELSE 'category=' || page_id % 5 END AS category
+FROM pages WHERE html LIKE '%</html>%'""")
 def items_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Item files in folders below ANNOS, one item each, read back; every seventh file is broken and goes to the side output."""
-    item = F.to_json(F.struct(F.concat(F.lit("https://shop/"), F.col("item_id").cast("string")).alias("url"), F.col("text").alias("description")))
-    rows = table(spark, d, "benchmark").select(
-        F.when(F.col("item_id") % 7 == 0, F.lit("{broken")).otherwise(item).alias("value"), (F.col("item_id") % 3).alias("kind"), F.col("item_id").alias("id"),
+    """Items of two shops' folders, with and without gender, read back. Pages that break off are broken items and go to
+    the side output; files of another extension are passed over."""
+    page = F.col("html")
+    item = F.to_json(F.struct(F.concat(F.lit("https://shop/"), F.col("page_id").cast("string")).alias("url"), F.substring(page, F.lit(1), F.instr(page, "</title>") - 1).alias("description")))
+    whole = page.contains("</html>")
+    rows = table(spark, d, "pages").select(
+        F.when(whole, item).otherwise(F.expr("concat(left(html, 20), '{')")).alias("value"), (F.col("page_id") % 3).alias("gender"), (F.col("page_id") % 5).alias("category"),
     )
-    root = materialise(spark.range(1)).inputFiles()[0].rpartition("/")[0] + "-items"
-    rows.write.partitionBy("kind", "id").text(f"{root}/shop/ANNOS")
-    good, _ = good_and_bad(items(spark, root))
+    root = working_folder(spark)
+    rows.where("gender <> 0").write.partitionBy("gender", "category").text(f"{root}/shop/ANNOS")
+    rows.where("gender = 0").select("value", F.lit("all").alias("category")).write.mode("append").partitionBy("category").text(f"{root}/shop/ANNOS")
+    rows.select("value").write.mode("append").json(f"{root}/shop/ANNOS")  # not items: another extension
+    good, _ = good_and_bad(items(spark, root, lines=True))
     return good.select("url", "description", "shop", "gender", "category")

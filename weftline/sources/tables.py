@@ -22,12 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, path: str, extension: str = "*.txt") -> DataFrame:
-    """JSON items below path, one per file, with shop, gender (null in the flat layout) and category from the folders.
+def items(spark: SparkSession, path: str, extension: str = "*.txt", lines: bool = False) -> DataFrame:
+    """JSON items below path, one per file or, with lines, one per line, with shop, gender (null in the flat layout) and category from the folders.
 
     Only files with the extension are read. Items that are no JSON keep their text in _corrupt_record.
     """
-    reader = spark.read.schema(ITEM).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", extension)
+    reader = spark.read.schema(ITEM).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", extension)
     path_parts = F.split(F.input_file_name(), "/")
     at = F.array_position(path_parts, "ANNOS").cast("int")
     folders = F.when(at > 0, F.slice(path_parts, at + 1, F.size(path_parts) - at - 1))
@@ -74,7 +74,7 @@ def vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame
 def configs(spark: SparkSession, names: str, folder_of: dict[str, str]) -> DataFrame:
     """JSON configurations named in one hyphen-joined list; the first two letters pick the folder."""
     paths = [os.path.join(folder_of[n[:2]], n) for n in names.split("-")]
-    return spark.read.option("multiLine", True).json(paths).withColumn("config", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return spark.read.option("multiLine", not lines).json(paths).withColumn("config", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -101,3 +101,14 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition: Iterable[s
         raise ValueError(f"unknown kind {kind!r}")
     writer = df.write.partitionBy(*partition) if partition else df.write
     getattr(writer, kind)(path, **({"header": True} if kind == "csv" else {}))
+
+
+def write_parts(df: DataFrame, path: str, *parts: str) -> None:
+    """df as Parquet with a folder for each value of the part columns, which are to have few. Rows of a part come from
+    all tasks, so that no part, however large, is one task's work."""
+    df.write.partitionBy(*parts).parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A table laid out in folders part=value, with its parts and their types found from the folders."""
+    return spark.read.parquet(path)
