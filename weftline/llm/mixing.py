@@ -84,10 +84,8 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         left = docs.withColumn("__s", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
         joined = left.join(salted, same & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
-    copies = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")), F.lit(0),
-        lambda a, j: a + F.size(F.filter("__cdf", lambda c: c <= _uniform(seed, F.col("doc_id"), j))),
-    )
+    hashes = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: _uniform(seed, F.col("doc_id"), j))  # once for each part
+    copies = F.aggregate(hashes, F.lit(0), lambda a, u: a + F.size(F.filter("__cdf", lambda c: c <= u)))
     joined = joined.withColumn("__copies", copies).where("__copies > 0")
     out = joined.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).drop("__copies", "__parts", "__cdf", "__source")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__copy").cast("binary"))
