@@ -441,6 +441,26 @@ def test_pii_separators(text, kind, found):
     assert (kind, found, False) in [(pii.KINDS[k], text[s:e], b) for k, s, e, b in pii.find_spans(text)]
 
 
+@pytest.mark.parametrize("last", ["com", "museum", "zzq"])
+@pytest.mark.parametrize("before", [0, 1, 5])
+@pytest.mark.parametrize("dots", range(1, 9))
+def test_pii_whole_addresses(last, before, dots):
+    """Runs of parts and labels of any length are marked from their first letter to their last."""
+    for at in (" at ", " @ ", "@", "_at_", " AT ", " arroba "):
+        address = " dot ".join(["jo", *"abcde"[:before]]) + at + " dot ".join(["mail", *(f"l{k}" for k in range(dots - 1)), last])
+        for text in (address, f"write to {address}, please", f"({address})", f"{address}\nnext and {address} or not"):
+            spans = [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == 0]
+            known = last != "zzq" or "@" in at or before + dots > 1
+            assert spans == [address] * text.count(address) * known, text
+
+
+def test_pii_spoken_runs_are_linear():
+    for text in ("x dot " * 100_000 + "y", "a at " * 100_000, "x at y dot " * 50_000, "a@b dot " * 50_000, "a" * 400_000 + " at b", "a dot " * 50_000 + "@ b dot " + "c dot " * 50_000):
+        pii.find_spans(text)
+    assert [s[:3] for s in pii.find_spans("a dot " * 20_000 + "b at c dot com")] == [(0, 0, 120_014)]
+    assert [s[:3] for s in pii.find_spans("a at b" + " dot c" * 20_000 + " dot com")] == [(0, 0, 120_014)]
+
+
 def test_pii_recall_by_kind(capsys):
     """Planted data of each kind, plain and in each disguise: what share is found as its own kind, with its own span."""
     import random
@@ -457,7 +477,7 @@ def test_pii_recall_by_kind(capsys):
         return d + next(c for c in "0123456789" if pii.luhn(d + c))
 
     makers = {
-        "email": [lambda: f"{word()}@{word()}.com", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{word()} at {word()} dot com", lambda: f"{word()}e@a{word()}.com".translate(look), lambda: f"{word()}_at_{word()}.net"],
+        "email": [lambda: f"{word()}@{word()}.com", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()} [at] {word()} [dot] org", lambda: f"{word()} at {word()} dot com", lambda: f"{word()}e@a{word()}.com".translate(look), lambda: f"{word()}_at_{word()}.net", lambda: f"{word()} dot {word()} at " + " dot ".join(word() for _ in range(r.randint(2, 8))) + " dot museum"],
         "ip": [lambda: "10.1.2.34", lambda: ".".join(str(r.randrange(256)) for _ in range(4)).translate(wide), lambda: "1\u200b0.2.3.44", lambda: " dot ".join(" ".join(names[int(c)] for c in str(r.randrange(10, 256))) for _ in range(4))],
         "card": [card, lambda: " ".join(re.findall("....", card())), lambda: card().translate(wide), lambda: "\u200b".join(re.findall("....", card())), lambda: " ".join(names[int(c)] for c in card())],
         "phone": [lambda: f"+49 {number(3)} {number(6)}", lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}".translate(wide), lambda: "plus " + " ".join(names[int(c)] for c in "4" + number(10)), lambda: f"+33\u00a0{number(9)}"],
