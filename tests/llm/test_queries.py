@@ -529,6 +529,19 @@ def test_toxicity_held_out(spark):
     assert np.mean([got[r["doc_id"]]["predicted"] == r["toxic"] for r in labels]) > 0.93
 
 
+def test_toxicity_quality(spark):
+    """Held-out documents of sf0.1: what a model that calls every document clean cannot reach."""
+    folder = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in queries.QUERIES["op3_toxicity"](spark, folder).where("held_out").collect()}
+    rows = [(*got[r["doc_id"]], r["toxic"]) for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").collect() if r["doc_id"] in got]
+    hit, said, toxic = sum(p and t for _, p, t in rows), sum(p for _, p, _ in rows), sum(t for _, _, t in rows)
+    order = [t for _, _, t in sorted(rows, key=lambda r: (-r[0], r[2]))]  # ties to the model's disadvantage
+    average = sum(sum(order[: k + 1]) / (k + 1) for k, t in enumerate(order) if t) / toxic
+    calibrated = np.mean([s for s, _, _ in rows]) / np.mean([t for _, _, t in rows])
+    print(f"precision {hit / said:.3f}, recall {hit / toxic:.3f}, average precision {average:.3f}, mean score / share {calibrated:.3f} of {toxic} toxic in {len(rows)}")
+    assert toxic > 50 and hit / said > 0.95 and hit / toxic > 0.85 and average > 0.88 and 0.8 < calibrated < 1.2
+
+
 def test_isotonic():
     from weftline.llm.toxicity import isotonic
 
@@ -578,9 +591,13 @@ def test_toxicity_cross_fitting(spark, edge):
     rows = [(f"own{k} own{k} plain", k, 1) for k in range(toxicity.FOLDS) for _ in range(30)] + [("plain words", k, 0) for k in range(toxicity.FOLDS) for _ in range(30)]
     chosen = spark.createDataFrame(rows, "text string, fold int, y int")
     found = toxicity._lexicons(chosen, {(k, y): 30 for k in range(toxicity.FOLDS) for y in (0, 1)})
-    for k in range(toxicity.FOLDS):
-        assert set(found[k][0]) == {f"own{j}" for j in range(toxicity.FOLDS) if j != k}
-    assert set(found[-1][0]) == {f"own{j}" for j in range(toxicity.FOLDS)}
+    assert len(found) == 11
+    for left_out, (lexicon, _) in found.items():
+        assert set(lexicon) == {f"own{j}" for j in range(toxicity.FOLDS) if j not in left_out}
+    texts = chosen.selectExpr("text", "fold", "y", "monotonically_increasing_id() AS doc_id")
+    hits = toxicity.NAMES.index("hits")
+    for r in toxicity._with_features(texts, found).collect():  # no features by a lexicon that has seen the row or the part to be scored
+        assert not np.frombuffer(r["x"]).reshape(toxicity.FOLDS, -1)[:, hits].any()
 
 
 def test_toxicity_cache():

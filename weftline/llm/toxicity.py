@@ -211,36 +211,39 @@ def _count_words(frame: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(fold, pa.int32()), pa.array(y, pa.int32()), pa.array(found.values(), pa.int64())], names=["word", "fold", "y", "n"])
 
 
-def _lexicons(chosen: DataFrame, sizes: dict[tuple[int, int], int]) -> list[tuple[dict[str, int], np.ndarray]]:
-    """For each fold the lexicon of all other folds, words selected and weighed there, then that of all folds."""
+def _lexicons(chosen: DataFrame, sizes: dict[tuple[int, int], int]) -> dict[frozenset[int], tuple[dict[str, int], np.ndarray]]:
+    """Lexicons by the folds that are left out of them, none, one or two: words are selected and weighed in the others."""
     words = chosen.select("text", "fold", "y").mapInArrow(batches(_count_words), "word string, fold int, y int, n long")
     pick = lambda k, y: F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{k}{y}")
     counts = words.groupBy("word").agg(*[pick(k, y) for k in range(FOLDS) for y in (0, 1)])
-    out = []
+    out = {}
     counts = cut(counts.where(" + ".join(f"n{k}1" for k in range(FOLDS)) + f" >= {LEAST}"), "words")
-    for left_out in [*range(FOLDS), None]:
-        folds = [k for k in range(FOLDS) if k != left_out]
+    for left_out in {frozenset(), *(frozenset((j, k)) for j in range(FOLDS) for k in range(FOLDS))}:
+        folds = [k for k in range(FOLDS) if k not in left_out]
         t, c = (sum((F.col(f"n{k}{y}") for k in folds), F.lit(0)) for y in (1, 0))
         n_toxic, n_clean = (sum(sizes.get((k, y), 0) for k in folds) for y in (1, 0))
         ratio = (t + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1))
         rows = counts.where((t >= LEAST) & (ratio >= RATIO)).select("word", t.alias("t"), c.alias("c"), ratio.alias("r")).orderBy(F.desc("r"), "word").limit(WORDS)
-        out.append(_lexicon([(r["word"], r["t"], r["c"]) for r in rows.collect()], n_toxic, n_clean))
+        out[left_out] = _lexicon([(r["word"], r["t"], r["c"]) for r in rows.collect()], n_toxic, n_clean)
     return out
 
 
-def _with_features(docs: DataFrame, columns: list[str], lexicons: list[tuple[dict[str, int], np.ndarray]], which: str) -> DataFrame:
-    """columns and x, the features of the text by the lexicon that the column which says."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+def _with_features(chosen: DataFrame, lexicons: dict[frozenset[int], tuple[dict[str, int], np.ndarray]]) -> DataFrame:
+    """(doc_id, fold, y, x) for each row of chosen (text, fold, y, doc_id): for each fold k the features of the text by
+    the lexicon that leaves out k and the row's own fold, one after the other as bytes of float64."""
+    shared = chosen.sparkSession.sparkContext.broadcast(lexicons)
 
     def run(frames: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words = [Words(x) for x, _ in shared.value]
+        words = {left_out: Words(lexicon) for left_out, (lexicon, _) in shared.value.items()}
         for frame in frames:
-            pick = frame.column(columns.index(which)).to_pylist()
-            x = [features(t.as_py() or "", words[k], shared.value[k][1]) for t, k in zip(frame.column(len(columns)), pick)]
-            yield pa.RecordBatch.from_arrays([*frame.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*columns, "x"])
+            x = []
+            for text, fold in zip(frame.column(3).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                by = [frozenset((fold, k)) for k in range(FOLDS)]
+                x.append(np.array([features(text or "", words[k], shared.value[k][1]) for k in by], float).tobytes())
+            yield pa.RecordBatch.from_arrays([*frame.columns[:3], pa.array(x, pa.binary())], names=["doc_id", "fold", "y", "x"])
 
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    rows = chosen.select("doc_id", "fold", "y", "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], T.StructField("x", T.BinaryType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -251,8 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lexicons (at most WORDS words each) and one row of features for each document of the sample.
 
     The sample is cut into FOLDS parts by a hash of doc_id. The words of the lexicon that a sample document's features
-    use are selected and weighed in the other parts alone. The calibration uses scores from trees that were fitted to
-    the other parts alone; the features of those come from lexicons that may have counted the document's words.
+    use are selected and weighed in the other parts alone. The calibration uses scores that have not seen the document:
+    for each part, of trees fitted to the other parts, whose features come from lexicons that leave out both the part
+    and their own.
     Without documents of both classes the score is the only class; a part whose complement lacks a class scores 0 odds.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_crc() % 5 != 0))
@@ -267,14 +271,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n_toxic or not n_clean:
         return Model(*_lexicon([], 1, 1), None, (np.array([0.0]), np.array([1.0 if n_toxic else 0.0])))
     lexicons = _lexicons(chosen, sizes)
-    rows = _with_features(chosen, ["doc_id", "fold", "y"], lexicons[:-1], "fold").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x, y, fold = np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float), np.array([r["fold"] for r in rows])
+    rows = _with_features(chosen, lexicons).collect()
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), FOLDS, -1)  # by row and fold left out
+    y, fold = np.array([r["y"] for r in rows], float), np.array([r["fold"] for r in rows])
     raw = np.zeros(len(y))
     for k in range(FOLDS):
         if (fold == k).any() and 0 < y[fold != k].sum() < (fold != k).sum():
-            raw[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(*lexicons[-1], Trees().fit(x, y), isotonic(raw, y))
+            raw[fold == k] = Trees().fit(x[fold != k, k], y[fold != k]).raw(x[fold == k, k])
+    return Model(*lexicons[frozenset()], Trees().fit(x[np.arange(len(y)), fold], y), isotonic(raw, y))
 
 
 def score_column(spark: SparkSession, model: Model, text: str | Column = "text") -> Column:

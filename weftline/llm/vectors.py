@@ -139,7 +139,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
     Vectors link when their cosine, in double precision, is at least the threshold (which must be above 0). Equal
-    vectors, told by a 192-bit hash, are one class with a count, so that copies cost nothing. Classes are turned to
+    vectors, told by a 128-bit hash, are one class with a count, so that copies cost nothing. Classes are turned to
     principal components, ordered by cells of the leading ones and cut into tiles of TILE; consecutive tiles of
     GROUP_BYTES are a group. Two groups meet in one task, one held, the other read tile by tile. Tiles whose boxes
     around their leading components are too far apart are passed over; of others LEAD components are summed, and pairs
