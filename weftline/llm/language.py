@@ -19,6 +19,9 @@ from .common import cut, id_crc, table
 #: with more, the most frequent ones.
 SAMPLE, WINDOWS, LANGUAGES = 600, 12, 500
 
+#: Documents to learn from in all languages together, in expectation: it bounds what reaches the driver, some 60 MB.
+MOST_SAMPLE = 20_000
+
 #: Bytes that a window labels, and bytes on either side that it reads besides; width of a direction's state.
 STRIDE, CONTEXT, WIDTH = 96, 8, 8
 
@@ -223,11 +226,14 @@ def _sample_windows(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from the text and lang of documents whose crc32(doc_id) mod 4 is not 2; None if no row has both.
 
-    Learns from about sample documents of each language, chosen by a hash of doc_id, and WINDOWS random windows of
+    Learns from about sample documents of each language, fewer where there are so many languages that they would be
+    over MOST_SAMPLE together, chosen by a hash of doc_id, and WINDOWS random windows of
     each; those are all that reaches the driver. Rows with a null text, lang or doc_id, or no letter, teach nothing.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (id_crc() % 4 != 2))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = cut(sizes, "languages")
+    sample = min(sample, MOST_SAMPLE // max(1, sizes.count()))
     sizes = sizes.select(F.col("lang").alias("__lang"), (F.least(F.lit(1.0), sample / F.col("n")) * (1 << 30)).alias("__most"))
     ids = known.select(F.col("doc_id").alias("__id"), "lang").join(F.broadcast(sizes), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64(F.lit("language"), "__id"), F.lit(1 << 30)) < F.col("__most"))
     ids = cut(ids.select("__id").distinct(), "sample")
