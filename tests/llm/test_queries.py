@@ -529,6 +529,29 @@ def test_toxicity_held_out(spark):
     assert np.mean([got[r["doc_id"]]["predicted"] == r["toxic"] for r in labels]) > 0.93
 
 
+def test_more_languages_than_allowed(spark, monkeypatch):
+    """With more languages than the bound the most frequent ones are learned, from fewer documents of each."""
+    from weftline.llm import language
+
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    monkeypatch.setattr(language, "MOST_SAMPLE", 60)
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst"]
+    rows = [(k, " ".join(letters[k % 5][(k // 5 + j * 7) % 4] * 3 for j in range(20)), f"l{k % 5}") for k in range(400) if k % 5 < 3 or k % 10 < 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = []
+    monkeypatch.setattr(language.Network, "fit", lambda self, x, y: taught.append(len(x)) or self)
+    network = language.train(docs)
+    assert network.langs == ["l0", "l1", "l2"] and 0 < taught[0] <= 60 * 2 * language.WINDOWS
+
+
+def test_substring_tasks_by_cores(spark):
+    """Tasks that read buckets: as many for a table five times as large, once they are more than the cores ask for."""
+    docs = lambda n: spark.range(n).select(F.col("id").alias("doc_key"), F.lit("a b c d e f g h " * 5000).alias("text"))
+    plans = [substrings.find_repeats(docs(n), 35)._jdf.queryExecution().executedPlan().toString() for n in (2000, 10_000)]
+    counts = [re.findall(r"Exchange hashpartitioning\(part#?\w*, (\d+)\), REPARTITION_BY_NUM", p) for p in plans]
+    assert counts[0] == counts[1] == [str(4 * spark.sparkContext.defaultParallelism)]
+
+
 def test_toxicity_quality(spark):
     """Held-out documents of sf0.1: what a model that calls every document clean cannot reach."""
     folder = "/root/testdata/sf0.1"

@@ -342,7 +342,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> D
 
     Windows from first to first + n - 1 (word numbers from 0) each occur at least twice, in any documents or in one.
     The number of buckets follows the bytes of text. A task that makes strings holds GATHER of them whatever that number
-    is; one that reads gets some PER_TASK buckets, sorted, and holds one at a time. However common a passage is, it
+    is; one that reads gets PER_TASK buckets or more, sorted, and holds one at a time. However common a passage is, it
     adds one string for each task that met it. A minimiser with very many different surroundings, found by a count
     over all super-k-mers, does not name a bucket: windows around it go by their own hashes.
     """
@@ -357,7 +357,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> D
     hot = [r["cell"] for r in cells.where(F.col("n") > 4 * max(mean, LEAST_HOT)).select("cell").collect()]  # fewer than a quarter of the cells
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
     sent = docs.mapInArrow(_places(n_parts, n_cells, hot, window, m), "part long, blob binary")
-    dealt = sent.repartition(max(8, n_parts // PER_TASK), "part").sortWithinPartitions("part")
+    # tasks by cores, not by the size of the table: a larger one puts more buckets, sorted, into each
+    conf, cores = docs.sparkSession.conf, docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(8, min(n_parts // PER_TASK, max(4 * cores, int(conf.get("spark.sql.shuffle.partitions")))))
+    dealt = sent.repartition(tasks, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(_buckets(window), "doc_key long, first int, n int")
 
 
