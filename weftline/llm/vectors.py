@@ -21,6 +21,9 @@ ROWS = 128
 #: Components of the first and second pass, and of a tile's box.
 LEAD, MORE, BOX = 24, 48, 8
 
+#: Groups whose boxes are broadcast, some 10 MB of numbers.
+MOST_GROUPS = 1 << 16
+
 #: Slack of the bounds, which are summed in single precision: 48 terms of at most 1 are off by less than 1e-5.
 SLACK = 1e-5
 
@@ -135,14 +138,39 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
+def _reach(tiles: DataFrame, n_groups: int, most: float) -> Column:
+    """The groups that a tile (g, low, high) has to meet: its own, and those whose boxes are within the square root of
+    most of its own box. With more than MOST_GROUPS, whose boxes would not be broadcast, all of them."""
+    if n_groups > MOST_GROUPS:
+        return F.sequence(F.lit(0), F.lit(n_groups - 1))
+    places = range(min(BOX, len(tiles.select("low").first()[0])))
+    ends = [F.min(F.get("low", F.lit(k))).alias(f"low{k}") for k in places] + [F.max(F.get("high", F.lit(k))).alias(f"high{k}") for k in places]
+    rows = {r["g"]: r for r in tiles.groupBy("g").agg(*ends).collect()}  # at most MOST_GROUPS rows of 2 BOX numbers
+    known = np.array(sorted(rows), np.int32)
+    low, high = (np.array([[rows[g][f"{end}{k}"] for k in places] for g in known.tolist()]) for end in ("low", "high"))
+    boxes = tiles.sparkSession.sparkContext.broadcast((known, low, high))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def near(g: pa.Array, tile_low: pa.Array, tile_high: pa.Array) -> pa.Array:
+        groups, low, high = boxes.value
+        out = []
+        for own, a, b in zip(g.to_pylist(), tile_low.to_pylist(), tile_high.to_pylist(), strict=True):
+            gap = np.maximum(0, np.maximum(low - np.array(b), np.array(a) - high))
+            out.append(groups[((gap**2).sum(1) <= most) | (groups == own)].tolist())
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return near("g", "low", "high")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
     Vectors link when their cosine, in double precision, is at least the threshold (which must be above 0). Equal
     vectors, told by a 128-bit hash, are one class with a count, so that copies cost nothing. Classes are turned to
     principal components, ordered by cells of the leading ones and cut into tiles of TILE; consecutive tiles of
-    GROUP_BYTES are a group. Two groups meet in one task, one held, the other read tile by tile. Tiles whose boxes
-    around their leading components are too far apart are passed over; of others LEAD components are summed, and pairs
+    GROUP_BYTES are a group. Two groups meet in one task, one held, the other read tile by tile; a tile is only sent to
+    meet groups whose box around their leading components is near enough to its own. Tiles whose boxes are too far apart
+    are passed over; of others LEAD components are summed, and pairs
     dropped whose remaining norms cannot make up the rest; what is left goes on with MORE, then with the vectors as
     they came. A comparison gives a count for each vector and a spanning forest of the links, never the pairs.
 
@@ -191,11 +219,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             nonlocal seq
             rows = rows.combine_chunks().to_batches()[0]
             x = _matrix(rows.column(2), width).astype(number)
-            values = [[part], [seq], [rows.num_rows], [b"".join(rows.column(0).to_pylist())], [rows.column(1).to_numpy().astype(np.int64).tobytes()], [x.tobytes()]]
+            lead = _unit(x) @ basis.value[:, :BOX]
+            values = [[part], [seq], [rows.num_rows], [b"".join(rows.column(0).to_pylist())], [rows.column(1).to_numpy().astype(np.int64).tobytes()], [x.tobytes()], [lead.min(0)], [lead.max(0)]]
             seq += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(values, [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
-                names=["part", "seq", "n", "ids", "copies", "x"],
+                [pa.array(x, t) for x, t in zip(values, [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())])],
+                names=["part", "seq", "n", "ids", "copies", "x", "low", "high"],
             )
 
         for frame in frames:
@@ -209,7 +238,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             for at in range(0, rows.num_rows, TILE):
                 yield from give(rows.slice(at, TILE))
 
-    made = cut(ranged.mapInArrow(tiles, "part int, seq int, n int, ids binary, copies binary, x binary"), "tiles")
+    made = cut(ranged.mapInArrow(tiles, "part int, seq int, n int, ids binary, copies binary, x binary, low array<double>, high array<double>"), "tiles")
     # consecutive tiles become groups: a running sum over the partitions' sizes, a row for each partition of the table
     sizes = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.sum("n").alias("n")).collect())
     most = max(TILE, GROUP_BYTES // (width * np.dtype(number).itemsize))
@@ -223,9 +252,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     starts = spark.createDataFrame(starts, "__part int, start long")
     before = F.col("start") + F.col("seq").cast("long") * TILE
     grouped = made.join(F.broadcast(starts), F.col("part") == F.col("__part")).withColumn("g", F.least(F.floor(before / per_group), F.lit(n_groups - 1)).cast("int"))
-    # each group goes to the tasks of its pairs: (i, j) with i <= j, its own rows held (side 0) where it is i
-    pair = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("other")
-    sent = grouped.select("*", pair)
+    # each tile goes to the tasks of its group's pairs: (i, j) with i <= j, its own rows held (side 0) where its group is i
+    sent = grouped.select("*", F.explode(_reach(grouped, n_groups, 2 - 2 * threshold + 1e-9)).alias("other"))
     sent = sent.withColumns({"i": F.least("g", "other"), "j": F.greatest("g", "other"), "side": (F.col("g") > F.col("other")).cast("int")})
     tasks = n_groups * (n_groups + 1) // 2
     slot = F.col("i").cast("long") * n_groups - F.expr("cast(i as bigint) * (i - 1) div 2") + F.col("j") - F.col("i")
