@@ -151,3 +151,19 @@ def test_enrichment_is_stopped_and_goes_on(spark, tmp_path, when, monkeypatch):
     assert found == {("__null__", 0), ("c0", 2), ("c1", 2), ("c2", 2), ("c9", 1)}  # only what failed, and what is new
     rows = enrich.enriched(spark, root, schema).collect()
     assert sorted(str(r["id"]) for r in rows) == sorted(map(str, [None, 100, *range(60)]))
+
+
+def test_lcs_bits():
+    import random
+
+    def table(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 90))] for _ in range(2))
+        assert metrics._lcs(a, b, 1) == table(a, b)
