@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.functions import text as T
 from weftline.operators import classify, decode, metrics
 from weftline.plans import sql
-from weftline.plans.lineage import materialise, number_rows
+from weftline.plans.lineage import materialise, number_rows, working_folder
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
-from weftline.streaming import seen
+from weftline.streaming import sections, seen
 
 R = Registry()
 
@@ -386,6 +386,23 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return seen.run_available(spark, f"{d}/pages.parquet", root).groupBy(F.col("seen_key").alias("url")).agg(F.count("*").alias("n"))
 
 
+@R.add("seen_sections", """
+SELECT section, n, ceil(n / 10)::BIGINT AS flushes FROM (
+  SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS section, count(DISTINCT split_part(url, '?', 1)) AS n FROM pages GROUP BY 1
+)""")
+def seen_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Links that the stream saw for the first time in each host's section, and the flushes of ten that they came in.
+    The pages come first, the ends of the sections after a restart."""
+    root = working_folder(spark)
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    rows = table(spark, d, "pages").select(host.alias("section"), T.canonical_url(F.col("url")).alias("item"), F.lit("first").alias("run"))
+    rows.write.parquet(f"{root}/landing")
+    sections.run_available(spark, f"{root}/landing", root)
+    rows.select("section").distinct().select("section", F.lit(None).cast("string").alias("item"), F.lit("first").alias("run")).write.mode("append").parquet(f"{root}/landing")
+    found = sections.run_available(spark, f"{root}/landing", root)
+    return found.groupBy("section").agg(F.sum(F.size("items")).alias("n"), F.count("*").alias("flushes"))
+
+
 @R.add("source_classify")
 def source_classify(spark: SparkSession, d: str) -> DataFrame:
     """Predicted language of every document, learned from the training part."""
