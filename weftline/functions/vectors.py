@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F, types as T
 
 
 def scaled(v: Column, by: float) -> Column:
@@ -34,8 +37,13 @@ def position_mean(v: Column, width: int, digits: int | None = None) -> Column:
 
 
 def hashed_bag(words: Column, width: int) -> Column:
-    """Counts of the words of a list by hash modulo width, scaled to length 1; zeros for an empty list."""
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
-    count = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(count, F.lit(0.0), lambda a, c: a + c * c))
-    return F.transform(count, lambda c: F.when(norm > 0, c / norm).otherwise(0.0))
+    """Counts of the words of a list by hash modulo width, scaled to length 1; zeros for an empty list or none."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def counted(places: pa.Array) -> pa.Array:  # one pass over the words, which lambdas within lambdas work out again for each number
+        n, rows = len(places), np.repeat(np.arange(len(places)), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
+        count = np.bincount(rows * width + places.flatten().to_numpy(), minlength=n * width).reshape(n, width).astype(float)
+        norm = np.sqrt((count * count).sum(1, keepdims=True))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array((count / np.where(norm > 0, norm, 1)).ravel()))
+
+    return counted(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width))))
