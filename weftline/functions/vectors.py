@@ -8,6 +8,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero as floats are scaled: a negative one that vanishes is -0.0, as in SQL."""
+    by = F.lit(10.0**digits)
+    out = F.signum(x) * F.round(F.abs(x) * by, 0) / by
+    return F.when(F.isnan(out) | (F.abs(out) == F.lit(float("inf"))), x).otherwise(out)
+
+
 def scaled(v: Column, by: float) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.lit(float(by)))
 
@@ -31,7 +38,7 @@ def position_mean(v: Column, width: int, digits: int | None = None) -> Column:
 
     def at(k: Column) -> Column:
         total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, p: a + F.get(v, (p - 1) * width + k).cast("double"))
-        return F.round(total / n, digits) if digits is not None else total / n
+        return rounded(total / n, digits) if digits is not None else total / n
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at))
 

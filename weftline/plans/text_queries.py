@@ -239,14 +239,14 @@ def attribute_index(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("vector_scale", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / 255.0, 8)) AS v FROM embeddings")
 def vector_scale(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.transform(V.scaled(F.col("embedding"), 255.0), lambda x: F.round(x, 8)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(V.scaled(F.col("embedding"), 255.0), lambda x: V.rounded(x, 8)).alias("v"))
 
 
 @R.add("vector_mean", "SELECT label, i::INT AS i, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean FROM embeddings, range(0, 64) AS g(i) GROUP BY ALL")
 def vector_mean(spark: SparkSession, d: str) -> DataFrame:
     """The mean of each component within a label."""
     cells = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return cells.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    return cells.groupBy("label", "i").agg(V.rounded(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 @R.add("vector_argmax", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS ix FROM embeddings")
