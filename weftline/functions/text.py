@@ -33,7 +33,9 @@ def tokens(text: Column, shortest: int = 2, banned: tuple[str, ...] = ("href", "
     """
     plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _PUNCTUATION_CLASS, ""))
     # one pass of an expression over the text, in place of a split and a test of each word
-    words = F.regexp_extract_all(plain, F.lit(rf"(?<![^{_SPACES}])\p{{L}}{{{shortest},}}+(?![^{_SPACES}])"), F.lit(0))
+    # the class of all spaces is slow, so letters, blanks and line feeds are looked for first
+    begins, ends = rf"(?=\p{{L}})(?:(?<=[ \n])|(?<![^{_SPACES}]))", rf"(?:(?=[ \n])|(?![^{_SPACES}]))"
+    words = F.regexp_extract_all(plain, F.lit(rf"{begins}\p{{L}}{{{shortest},}}+{ends}"), F.lit(0))
 
     def keep(w: Column) -> Column:
         found = F.lit(True)

@@ -24,6 +24,25 @@ def split_parts(items: DataFrame, key: str, train: float = 0.75, val: float = 0.
     return numbered.withColumn("part", part).drop("__order", "__n")
 
 
+def part_of(items: DataFrame, key: str, train: float = 0.75, val: float = 0.05, seed: int = 0) -> Column:
+    """The part that split_parts() gives a row, as an expression of its key, so that wide rows need neither move nor meet
+    a table of parts. Keys alone are numbered; the rows at the two bounds reach the driver. key must be unique."""
+    keys = items.select(key)
+    n = keys.count()
+    order, last = md5_order(seed, key), [int(train * n), int((train + val) * n)]
+    numbered = number_rows(keys.withColumn("__order", order), "__order", key, name="__n")
+    bounds = {r["__n"]: (r["__order"], r[key]) for r in numbered.where(F.col("__n").isin(last)).collect()}
+    kind = keys.schema[key].dataType
+
+    def upto(k: int) -> Column:
+        if k not in bounds:
+            return F.lit(False)
+        at, least = bounds[k]
+        return (order < at) | (order == at) & F.coalesce(F.col(key) <= F.lit(least).cast(kind), F.col(key).isNull())
+
+    return F.when(upto(last[0]), "TRAIN").when(upto(last[1]), "VAL").otherwise("TEST")
+
+
 def sample_k(items: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows at random, always the same: the first k in the order of md5(seed | key)."""
     order = md5_order(seed, key)
