@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,48 @@ ORDERS = (1, 2, 3, 4)
 #: Words whose stems a worker keeps.
 STEMS = 200_000
 
+#: Pairs whose n-grams a task counts at a time.
+PAIRS = 500
 
-def ngram_counts(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """(key, n, g, hyp, ref): how often each n-gram stands in the prediction and in the reference of each pair."""
+
+def _by_repetition(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose key no other row has, and the rest. Keys alone move, and those that stand more than once."""
+    twice = materialise(pairs.groupBy(F.col(key).alias("__twice")).count().where("count > 1").select("__twice"))
+    met = F.col(key).eqNullSafe(F.col("__twice"))
+    return pairs.join(twice, met, "left_anti"), pairs.join(twice, met, "left_semi")
+
+
+def _counted(words: list[str | None] | None, n: int) -> Counter:
+    """The n-grams of a token list, as ngrams() has them, and how often each stands in it."""
+    if n == 1 and None not in (words or []):
+        return Counter(words)
+    grams = zip(*[(words or [])[k:] for k in range(n)])
+    return Counter(" ".join(g) if None not in g else " ".join(w for w in g if w is not None) for g in grams)
+
+
+def _within_rows(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...], columns: tuple[str, ...], rows_of: Callable[[int, Counter, Counter], Iterable[tuple]]) -> DataFrame:
+    """(key, *columns): rows_of(n, predicted, wanted) for each pair and order, worked out where the pair is read."""
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for at in range(0, frame.num_rows, PAIRS):
+                part = frame.slice(at, PAIRS)
+                places, rows = [], []
+                for k, (ref, pred) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    for n in orders:
+                        found = list(rows_of(n, _counted(pred, n), _counted(ref, n)))
+                        places += [k] * len(found)
+                        rows += found
+                values = zip(*rows) if rows else [[] for _ in columns]
+                arrays = [pa.array(list(v), pa.string() if c == "g" else pa.int32() if c == "n" else pa.int64()) for c, v in zip(columns, values)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(places, pa.int64())), *arrays], names=[key, *columns])
+
+    rows = pairs.select(key, reference, prediction)
+    kinds = {"g": T.StringType(), "n": T.IntegerType()}
+    return rows.mapInArrow(work, T.StructType([rows.schema[key], *[T.StructField(c, kinds.get(c, T.LongType())) for c in columns]]))
+
+
+def _shuffled_counts(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...]) -> DataFrame:
+    """What ngram_counts() gives, for keys of any number of rows."""
     def grams(words: str, is_pred: int) -> Column:
         one = lambda n: F.transform(ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(is_pred).alias("p")))
         return F.concat(*[one(n) for n in orders])
@@ -31,10 +71,23 @@ def ngram_counts(pairs: DataFrame, key: str, reference: str, prediction: str, or
     return both.groupBy(key, "n", "g").agg(F.sum("p").alias("hyp"), F.sum(1 - F.col("p")).alias("ref"))
 
 
+def ngram_counts(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """(key, n, g, hyp, ref): how often each n-gram stands in the prediction and in the reference of each pair.
+
+    Pairs of the same key count together: their n-grams are shuffled, those of all other pairs are counted in place.
+    """
+    once, twice = _by_repetition(pairs, key)
+    rows_of = lambda n, pred, ref: ((n, g, pred[g], ref[g]) for g in pred.keys() | ref.keys())
+    return _within_rows(once, key, reference, prediction, orders, ("n", "g", "hyp", "ref"), rows_of).unionByName(_shuffled_counts(twice, key, reference, prediction, orders))
+
+
 def ngram_overlap(pairs: DataFrame, key: str, reference: str, prediction: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """(key, n, clip, pred_total, ref_total) of pairs of token lists, for each n; a pair without n-grams has no row."""
-    per_gram = ngram_counts(pairs, key, reference, prediction, orders)
-    return per_gram.groupBy(key, "n").agg(F.sum(F.least("hyp", "ref")).alias("clip"), F.sum("hyp").alias("pred_total"), F.sum("ref").alias("ref_total"))
+    once, twice = _by_repetition(pairs, key)
+    rows_of = lambda n, pred, ref: [(n, (pred & ref).total(), pred.total(), ref.total())] if pred or ref else []
+    within = _within_rows(once, key, reference, prediction, orders, ("n", "clip", "pred_total", "ref_total"), rows_of)
+    per_gram = _shuffled_counts(twice, key, reference, prediction, orders)
+    return within.unionByName(per_gram.groupBy(key, "n").agg(F.sum(F.least("hyp", "ref")).alias("clip"), F.sum("hyp").alias("pred_total"), F.sum("ref").alias("ref_total")))
 
 
 def bleu_components(pairs: DataFrame, key: str, reference: str, prediction: str) -> DataFrame:
@@ -83,7 +136,9 @@ def cider(pairs: DataFrame, key: str, item: str, reference: str, prediction: str
     rows = materialise(pairs.select(F.col(key).alias("__key"), F.col(item).alias("__item"), F.col(reference).alias("__ref"), F.col(prediction).alias("__pred")))
     grams = materialise(ngram_counts(rows, "__key", "__ref", "__pred"))
     items = rows.agg(F.countDistinct(F.coalesce(F.col("__item").cast("string"), F.lit("\0")))).first()[0]
-    held = grams.where("ref > 0").join(rows.select("__key", "__item"), "__key").select("n", "g", "__item").distinct()
+    held = grams.where("ref > 0")
+    if item != key:  # else each row of grams is an item's own
+        held = held.join(rows.select("__key", "__item"), "__key").select("n", "g", "__item").distinct()
     known = held.groupBy("n", "g").agg(F.count("*").alias("df"))
     weighed = grams.join(known, ["n", "g"], "left").withColumn("w", F.pow(F.ln(F.lit(float(items)) / F.coalesce("df", F.lit(1))), 2))
     hyp, ref, w = F.col("hyp"), F.col("ref"), F.col("w")
