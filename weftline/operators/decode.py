@@ -31,6 +31,7 @@ def bigram_scorer(texts: DataFrame, words: str, context: str | None = None) -> D
     before, after = F.concat(F.array(F.lit(START)), F.col(words)), F.concat(F.col(words), F.array(F.lit(END)))
     pairs = F.zip_with(before, after, lambda a, b: F.struct(a.alias("prev"), b.alias("next")))
     counts = texts.select(*given, F.explode_outer(pairs).alias("x")).groupBy(*given, "x.prev", "x.next").agg(F.count("*").alias("n"))
+    counts = materialise(counts)  # else all words are read, shuffled and counted again for the totals
     totals = counts.groupBy(*given, "prev").agg(F.sum("n").alias("t"))
     return counts.join(totals, [*given, "prev"]).select(*given, "prev", "next", (F.col("n") / F.col("t")).alias("prob"))
 
