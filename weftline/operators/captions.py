@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.functions.text import END as END_WORD, START as START_WORD
@@ -30,10 +31,11 @@ def vocabulary_of(texts: DataFrame, words: str, most: int, least: int = 1) -> tu
 def _grid(column: pa.Array, shape: Shape) -> np.ndarray:
     """Feature vectors as a matrix, or as grids. A null vector, a null number or one too few counts as 0."""
     width = shape.features * shape.positions
-    out = np.zeros((len(column), width))
-    for k, v in enumerate(column.to_pylist()):
-        v = [x if x is not None and np.isfinite(x) else 0.0 for x in (v or [])[:width]]
-        out[k, : len(v)] = v
+    out, lengths = np.zeros((len(column), width)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    row, place = np.repeat(np.arange(len(column)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    values = pc.fill_null(column.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    kept = (place < width) & np.isfinite(values)
+    out[row[kept], place[kept]] = values[kept]
     return out.reshape(-1, shape.positions, shape.features) if shape.kind == "attention" else out
 
 
@@ -93,8 +95,7 @@ def examples_of(texts: DataFrame, key: str, features: str, words: str, model: Ca
 
 def known_words(texts: DataFrame, words: str, model: Captioner) -> DataFrame:
     """texts whose lists keep the words of the vocabulary alone."""
-    vocabulary = F.array(*[F.lit(w) for w in model.vocabulary])
-    return texts.withColumn(words, F.filter(words, lambda w: F.array_contains(vocabulary, w)))
+    return texts.withColumn(words, F.filter(words, lambda w: w.isin(*model.vocabulary)))  # a set, not a list that is gone through for each word
 
 
 def train_captioner(texts: DataFrame, key: str, features: str, words: str, model: Captioner, root: str, plan: Plan, validate=None) -> Trained:

@@ -21,6 +21,9 @@ from weftline.operators.network import Adam, at_rest
 #: Weights in a block, blocks that one task adds up, and rows of examples that a task works on at a time.
 BLOCK, FAN, ROWS = 1 << 16, 256, 256
 
+#: Files of a batch for each core.
+SPREAD = 4
+
 SUMS = "part int, block int, loss double, n long, sums binary"
 VERSION = "block int, weights binary, mean binary, square binary, steps int"
 HISTORY = "epoch int, loss double, metric double, stopped boolean"
@@ -138,7 +141,8 @@ def train(examples: DataFrame, key: str, learner: Learner, root: str, plan: Plan
     history = history_of(spark, root)
     if not history:
         batch = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(plan.batches)).cast("int")
-        examples.withColumn("__batch", batch).write.mode("overwrite").partitionBy("__batch").parquet(f"{root}/examples")
+        even = SPREAD * spark.sparkContext.defaultParallelism  # a step takes as long as its largest task, and tasks are made of files
+        examples.withColumn("__batch", batch).repartition(even).write.mode("overwrite").partitionBy("__batch").parquet(f"{root}/examples")
         _save(spark, f"{root}/weights/epoch=0", at_rest(learner.first()))
         spark.createDataFrame([(0, None, None, False)], HISTORY).coalesce(1).write.mode("append").parquet(f"{root}/history")
         history = history_of(spark, root)
